@@ -94,15 +94,15 @@ w AS (SELECT record_id, line, try_cast(CASE WHEN a = '' THEN '0' ELSE a END AS B
 _EDGES = f"""WITH {_ONCE}, r AS (
   SELECT u.op, {_ID.format("etype", "e")} AS etype, {_ID.format("src", "s")} AS src, {_ID.format("dst", "d")} AS dst, coalesce(u.weight, 1) AS weight,
     CASE WHEN u.op = 'insert' AND u.time <> 1 AND length(u.time::VARCHAR) = 14 THEN epoch(strptime(u.time::VARCHAR, '%Y%m%d%H%M%S'))::BIGINT
-      WHEN u.op = 'insert' AND u.time <> 1 THEN u.time ELSE floor(epoch(b.sent_at))::BIGINT END AS at
+      WHEN u.op = 'insert' AND u.time <> 1 THEN u.time ELSE floor(epoch(b.sent_at))::BIGINT END AS ts
   FROM u LEFT JOIN batches b ON b.batch_id = u.batch_id
     LEFT JOIN name_map e ON e.kind = 'etype' AND e.name = u.etype_str
     LEFT JOIN name_map s ON s.kind = 'vertex' AND s.name = u.src_str
     LEFT JOIN name_map d ON d.kind = 'vertex' AND d.name = u.dst_str
   WHERE u.op IN ('insert', 'delete')),
 r2 AS (SELECT * FROM r WHERE etype IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL),
-del AS (SELECT etype, src, dst, max(at) AS deleted_at FROM r2 WHERE op = 'delete' GROUP BY ALL),
-ins AS (SELECT etype, src, dst, weight, at AS f, at AS l FROM r2 WHERE op = 'insert'
+del AS (SELECT etype, src, dst, max(ts) AS deleted_at FROM r2 WHERE op = 'delete' GROUP BY ALL),
+ins AS (SELECT etype, src, dst, weight, ts AS f, ts AS l FROM r2 WHERE op = 'insert'
   UNION ALL SELECT etype, src, dst, weight, time_first, time_recent FROM edges),
 state AS (SELECT i.etype, i.src, i.dst, sum(weight)::BIGINT AS weight, min(f) AS time_first, max(l) AS time_recent, max(deleted_at) AS deleted_at
   FROM ins i LEFT JOIN del USING (etype, src, dst) WHERE deleted_at IS NULL OR l > deleted_at GROUP BY ALL) """
