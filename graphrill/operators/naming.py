@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphrill.operators.lookups import heavy, lookup
 from graphrill.session import broadcast_if_small
 
 
@@ -28,10 +29,6 @@ def name_key(string: Column, number: Column) -> Column:
     return F.when(F.length(string) > 0, F.concat(F.lit("s"), string)).when(number.isNotNull(), F.concat(F.lit("n"), number.cast("string")))
 
 
-#: So many of the most frequent names are looked up in a broadcast table, whatever the size of the dictionary.
-HEAVY = 200
-
-
 def _dictionary(names: DataFrame, kind: str) -> DataFrame:
     kept = names.where((F.col("kind") == kind) & F.col("name").isNotNull())
     return kept.select(F.concat(F.lit("s"), "name").alias("_name"), F.col("id").alias("_id"))
@@ -54,23 +51,15 @@ def named(rows: DataFrame, key: str, names: DataFrame, kind: str, into: str) ->
 
 
 def heavy_names(source: DataFrame, key: Column, names: DataFrame) -> DataFrame:
-    """(_heavy, _heavy_id): the HEAVY most frequent string keys of ``source`` with their ids; at most HEAVY rows."""
-    counted = source.select(key.alias("_heavy")).where(F.col("_heavy").startswith("s")).groupBy("_heavy").agg(F.count(F.lit(1)).alias("_n"))
-    top = counted.orderBy(F.desc("_n"), "_heavy").limit(HEAVY)
-    return _dictionary(names, "vertex").join(F.broadcast(top), F.col("_name") == F.col("_heavy")).select("_heavy", F.col("_id").alias("_heavy_id"))
+    """The most frequent string keys of ``source`` with their ids, for named_rows."""
+    return heavy(source, F.when(key.startswith("s"), key), _dictionary(names, "vertex"), "_name", "_id")
 
 
-def named_rows(rows: DataFrame, key: str, names: DataFrame, heavy: DataFrame, into: str, spread: Column) -> DataFrame:
-    """As named, for vertices and rows that are not grouped by ``key``.
-
-    The names in ``heavy`` (of heavy_names) are looked up by broadcast and numbers need no lookup; these rows go through the
-    shuffle of the rest under ``spread``, any value that differs from row to row, so that no task gets a hot name.
-    """
-    known = rows.where(F.col(key).isNotNull()).join(F.broadcast(heavy), F.col(key) == F.col("_heavy"), "left")
-    done = F.coalesce("_heavy_id", _number(key))
-    known = known.withColumn("_done", done).withColumn("_key", F.when(F.col("_done").isNull(), F.col(key)).otherwise(F.concat(F.lit("r"), spread.cast("string"))))
-    joined = known.drop("_heavy", "_heavy_id", key).join(_dictionary(names, "vertex"), F.col("_key") == F.col("_name"), "left")
-    return joined.withColumn(into, F.coalesce("_done", "_id")).drop("_done", "_key", "_name", "_id").where(F.col(into).isNotNull())
+def named_rows(rows: DataFrame, key: str, names: DataFrame, heavy_rows: DataFrame, into: str, spread: Column) -> DataFrame:
+    """As named, for vertices and rows that are not grouped by ``key``, which may have hot names (see lookup)."""
+    rows = rows.where(F.col(key).isNotNull())
+    found = lookup(rows, key, _dictionary(names, "vertex"), "_name", "_id", into, heavy_rows, _number(key), spread)
+    return found.drop(key).where(F.col(into).isNotNull())
 
 
 def epoch(time: Column, sent_at: Column) -> Column:
