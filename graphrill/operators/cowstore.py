@@ -82,7 +82,7 @@ class EdgeStore:
     def _write(self, rows: DataFrame, version: str) -> dict[str, str]:
         """Writes ``rows`` by bucket; {bucket: folder} of the buckets that have rows."""
         root = f"{self.path}/{version}"
-        rows = rows.withColumn("bucket", bucket_of(self.buckets)).repartition("bucket").sortWithinPartitions("bucket", *KEY)
+        rows = rows.withColumn("bucket", bucket_of(self.buckets)).repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", *KEY)
         rows.write.partitionBy("bucket").parquet(root)
         names = [s.getPath().getName() for s in self._fs.listStatus(self._jpath(root))]
         return {n.split("=")[1]: f"{root}/{n}" for n in names if n.startswith("bucket=")}

@@ -11,7 +11,7 @@ from graphrill.operators.keyed import compress, profile
 from graphrill.operators.naming import named, once
 from graphrill.operators.rejects import split_lines
 from graphrill.plans import table
-from graphrill.session import cut, fresh_path, partitions
+from graphrill.session import fresh_path, partitions, stored
 
 #: A source is hot if it has at least this share of the insertion rows.
 HOT_SHARE = 0.01
@@ -61,7 +61,7 @@ def _store(spark: SparkSession, d: str, changes: DataFrame) -> EdgeStore:
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    return cut(edge_changes(table(spark, d, "updates"), table(spark, d, "batches"), table(spark, d, "name_map")))
+    return stored(edge_changes(table(spark, d, "updates"), table(spark, d, "batches"), table(spark, d, "name_map")), "changes")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
