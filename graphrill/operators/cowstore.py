@@ -18,7 +18,12 @@ def bucket_of(buckets: int) -> Column:
     return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
 
 
-def merge(old: DataFrame, changes: DataFrame) -> DataFrame:
+def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
+    """``rows`` with their bucket, each bucket in one task."""
+    return rows.withColumn("bucket", bucket_of(buckets)).repartitionById(buckets, F.col("bucket"))
+
+
+def merge(old: DataFrame, changes: DataFrame, buckets: int) -> DataFrame:
     """The state after ``changes`` on the state ``old``, whatever the order in which either arrives.
 
     ``old`` has the columns of STATE without bucket; a deleted edge stays as a row whose weight is null, so that a late
@@ -40,7 +45,9 @@ def merge(old: DataFrame, changes: DataFrame) -> DataFrame:
     rows = kept.drop("salt").withColumn("deleted_at", F.lit(None).cast("bigint")).unionByName(
         last.select(*KEY, *[F.lit(None).cast("bigint").alias(c) for c in ("weight", "time_first", "time_recent")], "deleted_at")
     )
-    return rows.groupBy(*KEY).agg(F.sum("weight").alias("weight"), F.min("time_first").alias("time_first"), F.max("time_recent").alias("time_recent"), F.max("deleted_at").alias("deleted_at"))
+    # At most SPREAD + 1 rows a key are left; they go straight to the task that writes their bucket.
+    rows = by_bucket(rows, buckets)
+    return rows.groupBy("bucket", *KEY).agg(F.sum("weight").alias("weight"), F.min("time_first").alias("time_first"), F.max("time_recent").alias("time_recent"), F.max("deleted_at").alias("deleted_at"))
 
 
 class EdgeStore:
@@ -80,10 +87,9 @@ class EdgeStore:
             raise RuntimeError(f"version {manifest['version']} was committed by another writer")
 
     def _write(self, rows: DataFrame, version: str) -> dict[str, str]:
-        """Writes ``rows`` by bucket; {bucket: folder} of the buckets that have rows."""
+        """Writes ``rows``, which are in tasks by bucket; {bucket: folder} of the buckets that have rows."""
         root = f"{self.path}/{version}"
-        rows = rows.withColumn("bucket", bucket_of(self.buckets)).repartitionById(self.buckets, F.col("bucket")).sortWithinPartitions("bucket", *KEY)
-        rows.write.partitionBy("bucket").parquet(root)
+        rows.sortWithinPartitions("bucket", *KEY).write.partitionBy("bucket").parquet(root)
         names = [s.getPath().getName() for s in self._fs.listStatus(self._jpath(root))]
         return {n.split("=")[1]: f"{root}/{n}" for n in names if n.startswith("bucket=")}
 
@@ -95,7 +101,7 @@ class EdgeStore:
         """Makes ``edges`` (KEY, weight, time_first, time_recent) the first version."""
         rows = edges.select(*KEY, F.coalesce("weight", F.lit(1)).alias("weight"), "time_first", "time_recent", F.lit(None).cast("bigint").alias("deleted_at"))
         m = self.manifest()
-        files = self._write(rows.dropna(subset=KEY), f"v{m['version'] + 1}-{uuid.uuid4().hex[:8]}")
+        files = self._write(by_bucket(rows.dropna(subset=KEY), self.buckets), f"v{m['version'] + 1}-{uuid.uuid4().hex[:8]}")
         self._commit(m | {"version": m["version"] + 1, "files": files})
 
     def apply(self, changes: DataFrame, change_id: str) -> list[int]:
@@ -108,7 +114,7 @@ class EdgeStore:
             return []
         touched = sorted(r[0] for r in changes.dropna(subset=KEY).select(bucket_of(self.buckets)).distinct().collect())  # at most self.buckets
         old = self._read([m["files"][str(b)] for b in touched if str(b) in m["files"]])
-        files = self._write(merge(old, changes), f"v{m['version'] + 1}-{uuid.uuid4().hex[:8]}")
+        files = self._write(merge(old, changes, self.buckets), f"v{m['version'] + 1}-{uuid.uuid4().hex[:8]}")
         self._commit(m | {"version": m["version"] + 1, "files": m["files"] | files, "applied": [*m["applied"], change_id]})
         return touched
 

@@ -23,8 +23,10 @@ def edge_changes(updates: DataFrame, batches: DataFrame, names: DataFrame) -> Da
     keyed = rows.select(*ROW, "op", "weight", "time", side("src").alias("s"), side("dst").alias("d"), side("etype").alias("e"))
     keyed = keyed.where(F.col("s").isNotNull() & F.col("d").isNotNull() & F.col("e").isNotNull())
     changes = with_epoch(once(keyed, ROW, ["op", "weight", "time", "s", "d", "e"]), batches)
-    spread = F.xxhash64(*ROW)
-    changes = named(changes.drop("time"), "e", names, "etype", "etype")
-    changes = named_rows(changes, "s", names, heavy_names(rows, side("src"), names), "src", spread)
-    changes = named_rows(changes, "d", names, heavy_names(rows, side("dst"), names), "dst", spread)
-    return changes.select("op", "etype", "src", "dst", "weight", "at")
+    # What the next shuffles carry is kept small: two bytes to spread rows by, and a flag for the operation.
+    spread = F.pmod(F.xxhash64(*ROW), F.lit(65_521))
+    changes = changes.select(spread.alias("spread"), (F.col("op") == "delete").alias("is_delete"), "weight", "at", "s", "d", "e")
+    changes = named(changes, "e", names, "etype", "etype")
+    changes = named_rows(changes, "s", names, heavy_names(rows, side("src"), names), "src", F.col("spread"))
+    changes = named_rows(changes, "d", names, heavy_names(rows, side("dst"), names), "dst", F.col("spread"))
+    return changes.select(F.when(F.col("is_delete"), "delete").otherwise("insert").alias("op"), "etype", "src", "dst", "weight", "at")
