@@ -25,7 +25,8 @@ def batch(rows: DataFrame) -> DataFrame:
 
 def mirrored(rows: DataFrame) -> DataFrame:
     """``rows`` and the same with src and dst exchanged; a self loop stays one row."""
-    return rows.union(rows.where("src <> dst").withColumnsRenamed({"src": "dst", "dst": "src"}).select(*rows.columns))
+    turned = {"src": "dst", "dst": "src"}
+    return rows.union(rows.where("src <> dst").select(*[F.col(turned.get(c, c)).alias(c) for c in rows.columns]))
 
 
 def insert(g: Graph, rows: DataFrame, how: str = "set", pairs: bool = False) -> Graph:

@@ -104,7 +104,8 @@ def path_edges(g: Graph, source: int, target: int) -> DataFrame:
     """
     start, end = (g.spark.createDataFrame([(v,)], "id bigint") for v in (source, target))
     ahead = distances(g, start, unweighted=True).select("id", F.col("dist").alias("a"))
-    back = distances(g.with_(edges=g.edges.withColumnsRenamed({"src": "dst", "dst": "src"})), end, unweighted=True).select("id", F.col("dist").alias("b"))
+    reverse = g.edges.select("etype", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "time_first", "time_recent")
+    back = distances(g.with_(edges=reverse), end, unweighted=True).select("id", F.col("dist").alias("b"))
     total = ahead.where(F.col("id") == target).select(F.col("a").alias("total"))
     e = g.edges.select("src", "dst").where("src <> dst").distinct()
     e = e.join(ahead.withColumnRenamed("id", "src"), "src").join(back.withColumnRenamed("id", "dst"), "dst")

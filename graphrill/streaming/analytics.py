@@ -60,7 +60,7 @@ class Triangles:
     @staticmethod
     def _around(g: Graph, batch: DataFrame, op: str | None) -> DataFrame:
         e = ends(g, batch, op)
-        back = g.with_(edges=g.edges.withColumnsRenamed({"src": "dst", "dst": "src"}))
+        back = g.with_(edges=g.edges.select("etype", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "time_first", "time_recent"))
         return affected(g, e).union(affected(back, e)).distinct()
 
     def post(self, g: Graph, batch: DataFrame, own: DataFrame) -> DataFrame:
