@@ -41,15 +41,15 @@ def _scored(e: DataFrame, d: DataFrame, how: str) -> DataFrame:
     if how == "heaviest":
         return e.withColumn("score", F.col("w").cast("double"))
     volume = e.select("i", "w").union(e.select("j", "w")).union(d.select("i", "inside")).groupBy("i").agg(F.sum("w").alias("vol"))
-    total = F.broadcast(e.agg(F.sum("w").alias("x")).crossJoin(d.agg(F.coalesce(F.sum("inside"), F.lit(0)).alias("y"))).select((F.col("x") + F.col("y")).cast("double").alias("W")))  # single rows
+    total = F.broadcast(e.agg(F.sum("w").alias("x")).crossJoin(d.agg(F.coalesce(F.sum("inside"), F.lit(0)).alias("y"))).select((F.col("x") + F.col("y")).cast("double").alias("total")))  # single rows
     s = e.join(volume, "i").join(volume.select(F.col("i").alias("j"), F.col("vol").alias("vol_j")), "j").crossJoin(total)
-    cnm = 2 * (F.col("w") / F.col("W") - (F.col("vol") / F.col("W")) * (F.col("vol_j") / F.col("W")))
+    cnm = 2 * (F.col("w") / F.col("total") - (F.col("vol") / F.col("total")) * (F.col("vol_j") / F.col("total")))
     if how == "conductance":
         inside = d.select("i", F.col("inside").alias("d_i")), d.select(F.col("i").alias("j"), F.col("inside").alias("d_j"))
         s = s.join(inside[0], "i", "left").join(inside[1], "j", "left").fillna(0, ["d_i", "d_j"])
 
         def phi(vol, cut_):
-            least = F.least(vol, 2 * F.col("W") - vol)
+            least = F.least(vol, 2 * F.col("total") - vol)
             return F.when(least > 0, cut_ / least).otherwise(0.0)
 
         a, b = F.col("vol"), F.col("vol_j")

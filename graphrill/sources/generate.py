@@ -13,24 +13,27 @@ FEED = "batch_id bigint, seq bigint, op string, etype bigint, etype_str string,
 QUADRANTS = (0.55, 0.15, 0.15, 0.25)
 
 
-def uniform(row: Column, *salt: int) -> Column:
+def uniform(row: Column, *salt: int | Column) -> Column:
     """A number in [0, 1) for each row and salt."""
-    return F.shiftrightunsigned(F.xxhash64(row, *[F.lit(s) for s in salt]), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(F.xxhash64(row, *[s if isinstance(s, Column) else F.lit(s) for s in salt]), 11) / F.lit(float(1 << 53))
 
 
 def rmat(spark: SparkSession, scale: int, edges: int, seed: int = 0, quadrants: tuple[float, ...] = QUADRANTS, noise: float = 0.05) -> DataFrame:
     """(src, dst, weight, time) of about ``edges`` edges on 2^scale vertices by recursive choice of quadrants, whose weights
     vary by ``noise`` at each level; self loops are left out; time counts the edges from 1."""
     i = F.col("id")
-    src, dst = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
-    rows = spark.range(edges)
-    for level in range(scale):
+
+    def choose(level: Column) -> Column:
+        """The quadrant, 0 to 3, of an edge at a level."""
         q = [F.lit(w) * (1 - noise + 2 * noise * uniform(i, seed, level, k)) for k, w in enumerate(quadrants)]
         u = uniform(i, seed, level, 9) * (q[0] + q[1] + q[2] + q[3])
-        rows = rows.withColumn(f"q{level}", F.when(u < q[0], 0).when(u < q[0] + q[1], 1).when(u < q[0] + q[1] + q[2], 2).otherwise(3))
-        src = src * 2 + F.floor(F.col(f"q{level}") / 2)
-        dst = dst * 2 + F.col(f"q{level}") % 2
-    return rows.select(src.alias("src"), dst.alias("dst"), F.lit(1).cast("bigint").alias("weight"), (i + 1).alias("time")).where("src <> dst")
+        return F.when(u < q[0], 0).when(u < q[0] + q[1], 1).when(u < q[0] + q[1] + q[2], 2).otherwise(3).cast("bigint")
+
+    quadrant = F.transform(F.sequence(F.lit(0), F.lit(scale - 1)), choose)
+    bits = lambda bit: F.aggregate("q", F.lit(0).cast("bigint"), lambda a, x: a * 2 + bit(x))
+    rows = spark.range(edges).select("id", quadrant.alias("q"))
+    rows = rows.select(bits(lambda x: F.shiftright(x, 1)).alias("src"), bits(lambda x: x % 2).alias("dst"), F.lit(1).cast("bigint").alias("weight"), (i + 1).alias("time"))
+    return rows.where("src <> dst")
 
 
 def random_edges(spark: SparkSession, vertices: int, edges: int, seed: int = 0) -> DataFrame:
