@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphrill.operators.naming import heavy_names, name_key, named, named_rows, once, with_epoch
+from graphrill.operators.naming import heavy_names, name_key, named, once, partly_named, rest_named, with_epoch
 
 ROW = ["batch_id", "seq"]
 
@@ -20,13 +20,19 @@ def edge_changes(updates: DataFrame, batches: DataFrame, names: DataFrame) -> Da
     Rows of which a side or the type names nothing are left out. Null weights stay null.
     """
     rows = updates.where(F.col("op").isin("insert", "delete"))
-    keyed = rows.select(*ROW, "op", "weight", "time", side("src").alias("s"), side("dst").alias("d"), side("etype").alias("e"))
+    deletes = F.col("op") == "delete"
+    keyed = rows.select(*ROW, deletes.alias("is_delete"), "weight", F.when(~deletes, F.col("time")).alias("time"), side("src").alias("s"), side("dst").alias("d"), side("etype").alias("e"))
     keyed = keyed.where(F.col("s").isNotNull() & F.col("d").isNotNull() & F.col("e").isNotNull())
-    changes = with_epoch(once(keyed, ROW, ["op", "weight", "time", "s", "d", "e"]), batches)
-    # What the next shuffles carry is kept small: two bytes to spread rows by, and a flag for the operation.
-    spread = F.pmod(F.xxhash64(*ROW), F.lit(65_521))
-    changes = changes.select(spread.alias("spread"), (F.col("op") == "delete").alias("is_delete"), "weight", "at", "s", "d", "e")
-    changes = named(changes, "e", names, "etype", "etype")
-    changes = named_rows(changes, "s", names, heavy_names(rows, side("src"), names), "src", F.col("spread"))
-    changes = named_rows(changes, "d", names, heavy_names(rows, side("dst"), names), "dst", F.col("spread"))
+    # Types, numbers and hot names become ids before the first shuffle; only the other names move as texts.
+    keyed = named(keyed, "e", names, "etype", "etype")
+    keyed = partly_named(keyed, "s", heavy_names(rows, side("src"), names), "src")
+    keyed = partly_named(keyed, "d", heavy_names(rows, side("dst"), names), "dst")
+    changes = with_epoch(once(keyed, ROW, ["is_delete", "weight", "time", "etype", "src", "s", "dst", "d"]), batches)
+    known = F.col("s").isNull() & F.col("d").isNull()
+    columns = ["is_delete", "etype", "src", "dst", "weight", "at"]
+    # Rows that name both sides already move no further; both branches read the same shuffle. Two bytes spread the rest.
+    rest = changes.where(~known).select(*columns, "s", "d", F.pmod(F.xxhash64(*ROW), F.lit(65_521)).alias("spread"))
+    rest = rest_named(rest, "s", names, "src", F.col("spread")).drop("spread")
+    rest = rest_named(rest, "d", names, "dst", F.pmod(F.xxhash64("src", "at", "weight"), F.lit(65_521)))
+    changes = changes.where(known).select(*columns).union(rest.select(*columns))
     return changes.select(F.when(F.col("is_delete"), "delete").otherwise("insert").alias("op"), "etype", "src", "dst", "weight", "at")

@@ -17,6 +17,25 @@ def heavy(source: DataFrame, key: Column, table: DataFrame, table_key: str, valu
     return found.join(F.broadcast(top), F.col("_table_key") == F.col("_heavy")).select("_heavy", "_heavy_value")
 
 
+def known_first(rows: DataFrame, key: str, heavy_rows: DataFrame, into: str, known: Column | None = None) -> DataFrame:
+    """``rows`` with ``into`` where ``known`` or ``heavy_rows`` has it, by broadcast alone; there the key becomes null."""
+    done = F.col("_heavy_value") if known is None else F.coalesce(known, "_heavy_value")
+    rows = rows.join(F.broadcast(heavy_rows), F.col(key) == F.col("_heavy"), "left").withColumn(into, done)
+    return rows.withColumn(key, F.when(F.col(into).isNull(), F.col(key))).drop("_heavy", "_heavy_value")
+
+
+def lookup_rest(rows: DataFrame, key: str, table: DataFrame, table_key: str, value: str, into: str, spread: Column) -> DataFrame:
+    """``rows`` with ``into`` filled by the ``value`` that ``table`` has for ``key``; rows whose key is null are spread."""
+    rest = F.col(key).isNotNull()
+    rows = rows.withColumn("_spread", F.when(rest, F.lit(0).cast("bigint")).otherwise(F.coalesce(spread, F.lit(1)).cast("bigint")))
+    # A zero that the optimizer does not see, else it takes the second column out of the join and the spread is lost.
+    zero = F.pmod(F.xxhash64(table_key), F.lit(1)).cast("bigint")
+    found = table.select(F.col(table_key).alias("_table_key"), F.col(value).alias("_found"), zero.alias("_zero"))
+    same = (F.coalesce(F.col(key), F.lit("0").cast(dict(rows.dtypes)[key])) == F.col("_table_key")) & (F.col("_spread") == F.col("_zero"))
+    joined = rows.join(found, same, "left")
+    return joined.withColumn(into, F.coalesce(into, F.when(rest, F.col("_found")))).drop("_spread", "_table_key", "_zero", "_found")
+
+
 def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, value: str, into: str, heavy_rows: DataFrame, known: Column | None = None, spread: Column | None = None) -> DataFrame:
     """``rows`` with ``into``: the ``value`` that ``table`` has for ``key``, null if none; ``table_key`` is unique.
 
@@ -24,11 +43,7 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, table_key: str, value: s
     and those with a null key go through the shuffle of the rest under ``spread``, a value that differs from row to row, so
     no task gets a hot key. ``spread`` is by default a hash of all columns.
     """
-    spread = F.xxhash64(*rows.columns) if spread is None else spread
-    done = F.col("_heavy_value") if known is None else F.coalesce(known, "_heavy_value")
-    rows = rows.join(F.broadcast(heavy_rows), F.col(key) == F.col("_heavy"), "left").withColumn("_done", done)
-    rest = F.col("_done").isNull() & F.col(key).isNotNull()
-    rows = rows.withColumn("_key", F.when(rest, F.col(key))).withColumn("_spread", F.when(rest, F.lit(0)).otherwise(F.coalesce(spread, F.lit(1))))
-    found = table.select(F.col(table_key).alias("_table_key"), F.col(value).alias("_found"), F.lit(0).cast("bigint").alias("_zero"))
-    joined = rows.join(found, F.coalesce("_key", F.lit("0").cast(dict(rows.dtypes)[key])).eqNullSafe(F.col("_table_key")) & (F.col("_spread") == F.col("_zero")), "left")
-    return joined.withColumn(into, F.coalesce("_done", "_found")).drop("_heavy", "_heavy_value", "_done", "_key", "_spread", "_table_key", "_zero", "_found")
+    columns = rows.columns
+    rows = rows.withColumn("_key", F.col(key)).withColumn("_by", F.xxhash64(*columns) if spread is None else spread)
+    rows = known_first(rows, "_key", heavy_rows, into, known)
+    return lookup_rest(rows, "_key", table, table_key, value, into, F.col("_by")).drop("_key", "_by")

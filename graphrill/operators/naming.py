@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrill.operators.lookups import heavy, lookup
-from graphrill.session import broadcast_if_small
+from graphrill.operators.lookups import heavy, known_first, lookup_rest
+from graphrill.session import broadcast_if_few, broadcast_if_small
 
 
 def once(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def named(rows: DataFrame, key: str, names: DataFrame, kind: str, into: str) ->
     """
     ids = _dictionary(names, kind)
     if kind != "vertex":
-        ids = broadcast_if_small(ids)
+        ids = broadcast_if_few(ids)
     joined = rows.where(F.col(key).isNotNull()).join(ids, F.col(key) == F.col("_name"), "left")
     return joined.withColumn(into, F.coalesce("_id", _number(key))).drop("_name", "_id", key).where(F.col(into).isNotNull())
 
@@ -55,11 +55,19 @@ def heavy_names(source: DataFrame, key: Column, names: DataFrame) -> DataFrame:
     return heavy(source, F.when(key.startswith("s"), key), _dictionary(names, "vertex"), "_name", "_id")
 
 
+def partly_named(rows: DataFrame, key: str, heavy_rows: DataFrame, into: str) -> DataFrame:
+    """``rows`` with the ids of numbers and of the names in ``heavy_rows``, whose ``key`` becomes null; nothing moves."""
+    return known_first(rows, key, heavy_rows, into, _number(key))
+
+
+def rest_named(rows: DataFrame, key: str, names: DataFrame, into: str, spread: Column) -> DataFrame:
+    """``rows`` of partly_named with the other ids; rows that name nothing are left out, and ``key`` is dropped."""
+    return lookup_rest(rows, key, _dictionary(names, "vertex"), "_name", "_id", into, spread).drop(key).where(F.col(into).isNotNull())
+
+
 def named_rows(rows: DataFrame, key: str, names: DataFrame, heavy_rows: DataFrame, into: str, spread: Column) -> DataFrame:
     """As named, for vertices and rows that are not grouped by ``key``, which may have hot names (see lookup)."""
-    rows = rows.where(F.col(key).isNotNull())
-    found = lookup(rows, key, _dictionary(names, "vertex"), "_name", "_id", into, heavy_rows, _number(key), spread)
-    return found.drop(key).where(F.col(into).isNotNull())
+    return rest_named(partly_named(rows.where(F.col(key).isNotNull()), key, heavy_rows, into), key, names, into, spread)
 
 
 def epoch(time: Column, sent_at: Column) -> Column:
@@ -74,8 +82,7 @@ def epoch(time: Column, sent_at: Column) -> Column:
 
 
 def with_epoch(rows: DataFrame, batches: DataFrame, into: str = "at") -> DataFrame:
-    """``rows`` with the epoch seconds of each; deletions have the time of their batch. Needs op, batch_id and time."""
+    """``rows`` with the epoch seconds of each, by batch_id and time; deletions have a null time, so that of their batch."""
     sent = broadcast_if_small(batches.groupBy("batch_id").agg(F.max("sent_at").alias("_sent")))
     joined = rows.join(sent, "batch_id", "left")
-    time = F.when(F.col("op") != "delete", F.col("time"))
-    return joined.withColumn(into, epoch(time, F.col("_sent"))).drop("_sent")
+    return joined.withColumn(into, epoch(F.col("time"), F.col("_sent"))).drop("_sent")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A table is broadcast only if Catalyst's estimate of its size is at most this.
 BROADCAST_BYTES = 16 << 20
 
+#: A small filtered table, such as the names of types, is broadcast only if it is counted to have at most so many rows.
+FEW_ROWS = 50_000
+
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own settings."""
@@ -74,6 +77,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if 4 * estimated_bytes(df) <= limit else df
 
 
+def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if a count shows at most ``most`` rows; for filtered tables, of which estimates know little."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
