@@ -107,11 +107,14 @@ class PageRank:
 
     name, needs = "pagerank", ()
 
+    def __init__(self, epsilon: float = 1e-8, most: int = 20):
+        self.epsilon, self.most = epsilon, most
+
     def init(self, g: Graph) -> DataFrame:
-        return ranking.pagerank(g)
+        return ranking.pagerank(g, epsilon=self.epsilon, most=self.most)
 
     def post(self, g: Graph, batch: DataFrame, own: DataFrame) -> DataFrame:
-        return ranking.pagerank(g, start=own if own.limit(1).count() else None)
+        return ranking.pagerank(g, epsilon=self.epsilon, most=self.most, start=own if own.limit(1).count() else None)
 
 
 class DeltaRank:

@@ -82,9 +82,12 @@ class StateStore:
         c = self.current()
         if c is None:
             return None
-        root, read = f"{self.path}/v{c['version']}", self.spark.read
-        g = Graph(read.schema(EDGES).parquet(f"{root}/edges").select(*EDGE), read.schema(VERTICES).parquet(f"{root}/vertices"), read.schema(NAMES).parquet(f"{root}/names"))
-        return g.with_(results={n: read.parquet(f"{root}/results/{n}") for n in c["results"]})
+        root = f"{self.path}/v{c['version']}"
+        return self._read(root).with_(results={n: self.spark.read.parquet(f"{root}/results/{n}") for n in c["results"]})
+
+    def _read(self, root: str) -> Graph:
+        at = lambda schema, part: self.spark.read.schema(schema).parquet(f"{root}/{part}")
+        return Graph(at(EDGES, "edges").select(*EDGE), at(VERTICES, "vertices"), at(NAMES, "names"))
 
     def write(self, g: Graph, version: int) -> Graph:
         """Writes the parts of a version, which no reader sees before commit; a crash leaves them to be written again."""
@@ -92,8 +95,8 @@ class StateStore:
         g.edges.write.mode("overwrite").partitionBy("etype").parquet(f"{root}/edges")
         g.vertices.write.mode("overwrite").parquet(f"{root}/vertices")
         g.names.write.mode("overwrite").parquet(f"{root}/names")
-        read = self.spark.read
-        return g.with_(edges=read.schema(EDGES).parquet(f"{root}/edges").select(*EDGE), vertices=read.schema(VERTICES).parquet(f"{root}/vertices"), names=read.schema(NAMES).parquet(f"{root}/names"))
+        new = self._read(root)
+        return g.with_(edges=new.edges, vertices=new.vertices, names=new.names)
 
     def write_result(self, version: int, name: str, rows: DataFrame) -> DataFrame:
         path = f"{self.path}/v{version}/results/{name}"
