@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["etype", "src", "dst"]
-STATE = "etype bigint, src bigint, dst bigint, weight bigint, time_first bigint, time_recent bigint, deleted_at bigint, bucket int"
-#: Rows of one key are split over so many tasks before they are merged.
+#: A row is what the insertions of an edge at one time brought (deleted_at is then the last deletion before it, if any), or
+#: the last deletion of an edge (weight and times are then null).
+STATE = "etype bigint, src bigint, dst bigint, weight bigint, time_first bigint, time_recent bigint, deleted_at bigint"
+#: The insertions of one edge are split over so many tasks, by time, before deletions are applied to them.
 SPREAD = 4
 
 
@@ -23,38 +25,37 @@ def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("bucket", bucket_of(buckets)).repartitionById(buckets, F.col("bucket"))
 
 
-def merge(old: DataFrame, changes: DataFrame, buckets: int) -> DataFrame:
-    """The state after ``changes`` on the state ``old``, whatever the order in which either arrives.
+def merge(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of STATE after ``changes`` (KEY, op, weight, at) on the rows ``old``, whatever the order in which they arrive.
 
-    ``old`` has the columns of STATE without bucket; a deleted edge stays as a row whose weight is null, so that a late
-    insertion cannot bring it back. ``changes`` has KEY, op, weight and at. An edge is in force if an insertion is later
-    than its last deletion; at equal time the deletion is the later. Insertions after the last deletion add their weights
-    (null counts 1), the first gives time_first, the last time_recent. Keys with a null are left out. Repeating a deletion
-    changes nothing; repeated insertions must be reduced to one row before.
+    An edge is in force if an insertion is later than its last deletion; at equal time the deletion is the later. Insertions
+    up to the last deletion are gone; the others stay with their times, so a deletion that arrives later than newer
+    insertions takes away just what it should. Deletions stay, so that a late insertion cannot bring an edge back. A null
+    weight counts 1. Keys with a null are left out. Repeated deletions change nothing; repeated insertions have to be left
+    out before. Of one edge there are at most as many rows as times.
     """
     inserts = changes.where(F.col("op") == "insert").select(*KEY, F.coalesce("weight", F.lit(1)).alias("weight"), F.col("at").alias("time_first"), F.col("at").alias("time_recent"))
     inserts = inserts.unionByName(old.where(F.col("weight").isNotNull()).select(*KEY, "weight", "time_first", "time_recent")).dropna(subset=KEY)
     deletes = changes.where(F.col("op") == "delete").select(*KEY, F.col("at").alias("deleted_at"))
-    deletes = deletes.unionByName(old.where(F.col("deleted_at").isNotNull()).select(*KEY, "deleted_at")).dropna(subset=KEY)
+    deletes = deletes.unionByName(old.where(F.col("weight").isNull()).select(*KEY, "deleted_at")).dropna(subset=KEY)
     last = deletes.groupBy(*KEY).agg(F.max("deleted_at").alias("deleted_at"))
     # A hot key's insertions go to SPREAD tasks, by time; its deletion goes to each of them.
-    inserts = inserts.withColumn("salt", F.pmod(F.xxhash64("time_recent", "weight"), F.lit(SPREAD)))
+    inserts = inserts.withColumn("salt", F.pmod(F.xxhash64("time_recent"), F.lit(SPREAD)))
     salted = last.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SPREAD)])))
     alive = inserts.join(salted, [*KEY, "salt"], "left").where(F.col("deleted_at").isNull() | (F.col("time_recent") > F.col("deleted_at")))
-    kept = alive.groupBy(*KEY, "salt").agg(F.sum("weight").alias("weight"), F.min("time_first").alias("time_first"), F.max("time_recent").alias("time_recent"))
-    rows = kept.drop("salt").withColumn("deleted_at", F.lit(None).cast("bigint")).unionByName(
-        last.select(*KEY, *[F.lit(None).cast("bigint").alias(c) for c in ("weight", "time_first", "time_recent")], "deleted_at")
-    )
-    # At most SPREAD + 1 rows a key are left; they go straight to the task that writes their bucket.
-    rows = by_bucket(rows, buckets)
-    return rows.groupBy("bucket", *KEY).agg(F.sum("weight").alias("weight"), F.min("time_first").alias("time_first"), F.max("time_recent").alias("time_recent"), F.max("deleted_at").alias("deleted_at"))
+    # The rows of a key and time are in one task already.
+    kept = alive.groupBy(*KEY, "salt", "time_recent").agg(F.sum("weight").alias("weight"), F.min("time_first").alias("time_first"), F.max("deleted_at").alias("deleted_at"))
+    none = F.lit(None).cast("bigint")
+    markers = last.select(*KEY, none.alias("weight"), none.alias("time_first"), none.alias("time_recent"), "deleted_at")
+    return kept.select(*markers.columns).union(markers)
 
 
 class EdgeStore:
     """The table at ``path``: data files in ``v*/bucket=*``, and manifests that say which version holds each bucket.
 
     A manifest is written under a name of its own and then renamed to its number, so a reader sees a whole version or the
-    one before. Replaying a change set under the id of one already applied does nothing.
+    one before. Replaying a change set under the id of one already applied does nothing. The folder ``ledger`` has the
+    identities of the changes applied so far, if they have any.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
@@ -94,8 +95,7 @@ class EdgeStore:
         return {n.split("=")[1]: f"{root}/{n}" for n in names if n.startswith("bucket=")}
 
     def _read(self, folders: list[str]) -> DataFrame:
-        schema = STATE.removesuffix(", bucket int")
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(STATE).parquet(*folders) if folders else self.spark.createDataFrame([], STATE)
 
     def load(self, edges: DataFrame) -> None:
         """Makes ``edges`` (KEY, weight, time_first, time_recent) the first version."""
@@ -104,27 +104,47 @@ class EdgeStore:
         files = self._write(by_bucket(rows.dropna(subset=KEY), self.buckets), f"v{m['version'] + 1}-{uuid.uuid4().hex[:8]}")
         self._commit(m | {"version": m["version"] + 1, "files": files})
 
-    def apply(self, changes: DataFrame, change_id: str) -> list[int]:
+    def _fresh(self, changes: DataFrame, identity: list[str], ledger: list[str]) -> DataFrame:
+        """``changes`` that no set before has applied. Only the ledger's rows in their range of identities are read."""
+        low, high = changes.agg(F.min(identity[0]), F.max(identity[0])).head()
+        if low is None or not ledger:
+            return changes
+        known = self.spark.read.parquet(*ledger).where(F.col(identity[0]).between(low, high))
+        return changes.join(known, identity, "left_anti")
+
+    def apply(self, changes: DataFrame, change_id: str, identity: list[str] | None = None) -> list[int]:
         """Merges ``changes`` (KEY, op, weight, at) into the buckets they touch; the buckets rewritten.
 
-        ``changes`` is read twice; cut it first if it is costly.
+        With ``identity`` (columns of changes, such as batch and number) changes that an earlier set brought are left out.
+        ``changes`` is read more than once; store it first if it is costly.
         """
         m = self.manifest()
         if change_id in m["applied"]:
             return []
+        ledger = m.get("ledger", [])
+        if identity:
+            changes = self._fresh(changes, identity, ledger)
+            path = f"{self.path}/ledger/{uuid.uuid4().hex}"
+            changes.select(*identity).sortWithinPartitions(*identity).write.parquet(path)
+            ledger = [*ledger, path]
         touched = sorted(r[0] for r in changes.dropna(subset=KEY).select(bucket_of(self.buckets)).distinct().collect())  # at most self.buckets
         old = self._read([m["files"][str(b)] for b in touched if str(b) in m["files"]])
-        files = self._write(merge(old, changes, self.buckets), f"v{m['version'] + 1}-{uuid.uuid4().hex[:8]}")
-        self._commit(m | {"version": m["version"] + 1, "files": m["files"] | files, "applied": [*m["applied"], change_id]})
+        files = self._write(by_bucket(merge(old, changes), self.buckets), f"v{m['version'] + 1}-{uuid.uuid4().hex[:8]}")
+        self._commit(m | {"version": m["version"] + 1, "files": m["files"] | files, "ledger": ledger, "applied": [*m["applied"], change_id]})
         return touched
 
     def rows(self) -> DataFrame:
-        """All rows of the last version, deleted edges included."""
+        """All rows of the last version."""
         return self._read(list(self.manifest()["files"].values()))
 
     def edges(self) -> DataFrame:
         """The edges in force: KEY, weight, time_first, time_recent."""
-        return self.rows().where(F.col("weight").isNotNull()).drop("deleted_at")
+        alive = self.rows().where(F.col("weight").isNotNull())
+        return alive.groupBy(*KEY).agg(F.sum("weight").alias("weight"), F.min("time_first").alias("time_first"), F.max("time_recent").alias("time_recent"))
+
+    def revived(self) -> DataFrame:
+        """The keys of the edges in force that a deletion names."""
+        return self.rows().where(F.col("weight").isNotNull() & F.col("deleted_at").isNotNull()).select(*KEY).distinct()
 
     def drop_old(self) -> None:
         """Deletes the data of versions that the last manifest does not name."""

@@ -14,8 +14,9 @@ def side(name: str):
     return name_key(F.col(f"{name}_str"), F.col(name))
 
 
-def edge_changes(updates: DataFrame, batches: DataFrame, names: DataFrame) -> DataFrame:
-    """(op, etype, src, dst, weight, at) of every insertion and deletion of ``updates``, each row once.
+def edge_changes(updates: DataFrame, batches: DataFrame, names: DataFrame, identity: bool = False) -> DataFrame:
+    """(op, etype, src, dst, weight, at) of every insertion and deletion of ``updates``, each row once; with ``identity``
+    batch_id and seq too.
 
     Rows of which a side or the type names nothing are left out. Null weights stay null.
     """
@@ -29,10 +30,10 @@ def edge_changes(updates: DataFrame, batches: DataFrame, names: DataFrame) -> Da
     keyed = partly_named(keyed, "d", heavy_names(rows, side("dst"), names), "dst")
     changes = with_epoch(once(keyed, ROW, ["is_delete", "weight", "time", "etype", "src", "s", "dst", "d"]), batches)
     known = F.col("s").isNull() & F.col("d").isNull()
-    columns = ["is_delete", "etype", "src", "dst", "weight", "at"]
+    columns = ["is_delete", "etype", "src", "dst", "weight", "at", *(ROW if identity else [])]
     # Rows that name both sides already move no further; both branches read the same shuffle. Two bytes spread the rest.
     rest = changes.where(~known).select(*columns, "s", "d", F.pmod(F.xxhash64(*ROW), F.lit(65_521)).alias("spread"))
     rest = rest_named(rest, "s", names, "src", F.col("spread")).drop("spread")
     rest = rest_named(rest, "d", names, "dst", F.pmod(F.xxhash64("src", "at", "weight"), F.lit(65_521)))
     changes = changes.where(known).select(*columns).union(rest.select(*columns))
-    return changes.select(F.when(F.col("is_delete"), "delete").otherwise("insert").alias("op"), "etype", "src", "dst", "weight", "at")
+    return changes.select(F.when(F.col("is_delete"), "delete").otherwise("insert").alias("op"), *columns[1:])

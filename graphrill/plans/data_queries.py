@@ -65,9 +65,8 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the store that are in force although a deletion names them: those that keep a deletion time."""
-    rows = _store(spark, d, _changes(spark, d)).rows()
-    return rows.where(F.col("weight").isNotNull() & F.col("deleted_at").isNotNull()).select("etype", "src", "dst")
+    """The edges in force that keep a deletion from before their last insertions."""
+    return _store(spark, d, _changes(spark, d)).revived()
 
 
 def p6_state(spark: SparkSession, d: str) -> DataFrame:

@@ -140,6 +140,25 @@ def test_store_against_replay(spark):
     assert store.edges().count() > 0
 
 
+def test_store_over_several_sets(spark):
+    """Late and repeated changes in later sets give the same as all at once."""
+    r = random.Random(8)
+    changes = [(r.choice(["insert", "insert", "delete"]), 0, i := r.randrange(6), i + 1, r.choice([None, 1, 4]), r.randrange(60), b, n) for b in range(12) for n in range(25)]
+    df = spark.createDataFrame(changes, CHANGES + ", batch_id bigint, seq bigint")
+    store = EdgeStore(spark, fresh_path(spark, "s"), 3)
+    store.load(spark.createDataFrame([(0, 0, 1, 5, 1, 30)], "etype bigint, src bigint, dst bigint, weight bigint, time_first bigint, time_recent bigint"))
+    order = list(range(12))
+    r.shuffle(order)
+    for i in range(0, 12, 3):
+        # Each set repeats a batch of the one before.
+        store.apply(df.where(F.col("batch_id").isin(order[max(0, i - 1) : i + 3])), f"set {i}", ["batch_id", "seq"])
+    got = {(x["etype"], x["src"], x["dst"]): (x["weight"], x["time_first"], x["time_recent"]) for x in store.edges().collect()}
+    want = brute_state({(0, 0, 1): (5, 1, 30)}, [c[:6] for c in changes])
+    assert got == want
+    deleted = {c[1:4] for c in changes if c[0] == "delete"}
+    assert {tuple(x) for x in store.revived().collect()} == deleted & want.keys()
+
+
 def test_empty_store(spark):
     store = EdgeStore(spark, fresh_path(spark, "s"), 4)
     store.load(spark.createDataFrame([], "etype bigint, src bigint, dst bigint, weight bigint, time_first bigint, time_recent bigint"))
