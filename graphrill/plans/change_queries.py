@@ -11,7 +11,7 @@ from graphrill.functions import scalar
 from graphrill.functions.rpc import Rpc
 from graphrill.functions.sql import built_in, sql
 from graphrill.model import EDGE, KEY, Graph
-from graphrill.operators import mutate, ranking, stats
+from graphrill.operators import mutate, ranking, stats, structure
 from graphrill.operators.feed import ROW
 from graphrill.operators.naming import once
 from graphrill.plans import table
@@ -442,6 +442,36 @@ def k07_rpc_description(spark, d):
     return Rpc(lambda: g.with_(results={"degree": stats.degrees(g)})).call("get_data_description", {"name": "degree"})
 
 
+_HALF = """h AS (SELECT DISTINCT * EXCLUDE (metadata) FROM updates WHERE batch_id {0} (SELECT max(batch_id) FROM updates) // 2),
+x AS MATERIALIZED (SELECT u.op, {1} AS etype, CASE WHEN length(u.src_str) > 0 THEN coalesce('n' || s.id, u.src_str) ELSE 'n' || coalesce(u.src, 0) END AS src,
+    CASE WHEN length(u.dst_str) > 0 THEN coalesce('n' || d.id, u.dst_str) ELSE 'n' || coalesce(u.dst, 1) END AS dst, coalesce(u.weight, 1) AS weight, coalesce(u.time, 1) AS time
+  FROM h u LEFT JOIN name_map e ON e.kind = 'etype' AND e.name = u.etype_str LEFT JOIN name_map s ON s.kind = 'vertex' AND s.name = u.src_str LEFT JOIN name_map d ON d.kind = 'vertex' AND d.name = u.dst_str WHERE u.op <> 'vertex')"""
+_FIRST, _SECOND = (_HALF.format(c, _ID.format("etype", "e", 0)).replace("h AS", f"h{i} AS").replace("FROM h u", f"FROM h{i} u").replace("x AS", f"x{i} AS") for i, c in ((1, "<="), (2, ">")))
+
+
+@query("i06_streamed_state", f"""WITH {_FIRST}, {_SECOND},
+o AS (SELECT etype, 'n' || src AS src, 'n' || dst AS dst, weight FROM edges),
+m1 AS (SELECT etype, src, dst, coalesce(o.weight, 0) + coalesce(n.w, 0) AS weight FROM o FULL JOIN (SELECT etype, src, dst, sum(weight) AS w FROM x1 WHERE op = 'insert' GROUP BY ALL) n USING (etype, src, dst)),
+g1 AS MATERIALIZED (SELECT * FROM m1 ANTI JOIN (SELECT DISTINCT etype, src, dst FROM x1 WHERE op = 'delete') USING (etype, src, dst)),
+m2 AS (SELECT etype, src, dst, coalesce(g1.weight, 0) + coalesce(n.w, 0) AS weight FROM g1 FULL JOIN (SELECT etype, src, dst, sum(weight) AS w FROM x2 WHERE op = 'insert' GROUP BY ALL) n USING (etype, src, dst))
+SELECT etype, count(*) AS edges, sum(weight)::BIGINT AS weight FROM m2 ANTI JOIN (SELECT DISTINCT etype, src, dst FROM x2 WHERE op = 'delete') USING (etype, src, dst) GROUP BY etype""")
+def i06_streamed_state(spark, d):
+    """The state after the feed as a stream of two micro-batches, summed up by type."""
+    e = _streamed(spark, d, []).graph.edges
+    return e.groupBy("etype").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").cast("bigint").alias("weight"))
+
+
+@query("i10_streamed_equals_static", "SELECT 0::BIGINT AS different, true AS some")
+def i10_streamed_equals_static(spark, d):
+    """Incremental components and triangles against those computed anew on the last state: no vertex differs."""
+    engine = _streamed(spark, d, [analytics.Components(), analytics.Triangles()])
+    g = engine.graph
+    labels = g.results["components"].select("id", "label").exceptAll(structure.components(g))
+    counts = g.results["triangles"].exceptAll(structure.triangles(g)).select("id", "triangles")
+    both = labels.union(counts).agg(F.count(F.lit(1)).alias("different"))
+    return both.crossJoin(g.results["triangles"].agg((F.sum("triangles") > 0).alias("some")))  # two single rows
+
+
 @query("i11_warm_pagerank")
 def i11_warm_pagerank(spark, d):
     g = held_edges(spark, d)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphrill.model import Graph
 from graphrill.operators import columns, communities, extract, paths, ranking, stats, structure, traverse
 from graphrill.plans.graphs import FLOW, SPARSE, flow, held, held_edges, sparse, unrolled
+from graphrill.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -432,8 +433,30 @@ def j08_clustering(spark, d):
     return rounded(structure.clustering(flow(spark, d)), "cc", digits=9)
 
 
-@query("j09_betweenness")
+_LEVELS = 6
+_ARCS = "arcs AS MATERIALIZED (SELECT src, dst, count(*) AS c FROM flow GROUP BY src, dst)"
+_FORWARD = unrolled(
+    "SELECT id AS s, id, 1.0::DOUBLE AS sigma, 0 AS l FROM ids",
+    "SELECT * FROM {p} UNION ALL SELECT p.s, a.dst, sum(p.sigma * a.c), {k} FROM {p} p JOIN arcs a ON a.src = p.id WHERE p.l = {k} - 1 AND NOT EXISTS (SELECT 1 FROM {p} q WHERE q.s = p.s AND q.id = a.dst) GROUP BY p.s, a.dst",
+    _LEVELS, "f",
+)
+_BACKWARD = ", ".join(
+    [f"b{_LEVELS} AS MATERIALIZED (SELECT s, id, 0.0::DOUBLE AS delta FROM f{_LEVELS} WHERE l = {_LEVELS})"]
+    + [
+        f"b{i} AS MATERIALIZED (SELECT p.s, p.id, coalesce(sum(p.sigma * a.c / q.sigma * (1 + b.delta)), 0) AS delta FROM f{_LEVELS} p LEFT JOIN (arcs a JOIN f{_LEVELS} q ON q.id = a.dst AND q.l = {i + 1} JOIN b{i + 1} b ON b.s = q.s AND b.id = q.id) ON a.src = p.id AND q.s = p.s WHERE p.l = {i} GROUP BY p.s, p.id)"
+        for i in range(_LEVELS - 1, 0, -1)
+    ]
+)
+
+
+@query("j09_betweenness", f"WITH {FLOW}, {_FIDS}, {_ARCS}, {_FORWARD}, {_BACKWARD}, d AS ({' UNION ALL '.join(f'SELECT * FROM b{i}' for i in range(1, _LEVELS + 1))}) SELECT ids.id, round(coalesce(sum(delta), 0), 6) AS bc, count(delta) AS times_found FROM ids LEFT JOIN d USING (id) GROUP BY ids.id")
 def j09_betweenness(spark, d):
+    """All sources of the event graph."""
+    return rounded(structure.betweenness(flow(spark, d)), "bc")
+
+
+@query("j09_betweenness_sampled")
+def j09_betweenness_sampled(spark, d):
     return structure.betweenness(held_edges(spark, d), 64, seed=1)
 
 
@@ -525,6 +548,38 @@ def j20_independent_set(spark, d):
     return structure.independent_set(held_edges(spark, d), seed=7)
 
 
+@query("j20_independence", "SELECT 0::BIGINT AS linked, 0::BIGINT AS missing")
+def j20_independence(spark, d):
+    """Links within the set, and vertices outside without a neighbour in it: none."""
+    g = held_edges(spark, d)
+    chosen = stored(structure.independent_set(g, seed=7), "chosen")
+    other = chosen.withColumnRenamed("id", "nbr")
+    near = g.both_ways().join(other, "nbr", "left_semi").select("id")
+    linked = near.join(chosen, "id", "left_semi").agg(F.count(F.lit(1)).alias("linked"))
+    missing = g.ids().join(chosen, "id", "left_anti").join(near, "id", "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    return linked.crossJoin(missing)  # two single rows
+
+
+@query("j19_part_sizes", "WITH ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges) SELECT count(*) AS vertices, 4::BIGINT AS parts, true AS within FROM ids")
+def j19_part_sizes(spark, d):
+    """All vertices are placed, in four parts within the capacity."""
+    g = held_edges(spark, d)
+    capacity = g.ids().count() / 4 * 1.1
+    sizes = communities.partition(g, 4, capacity).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.sum("n").alias("vertices"), F.count(F.lit(1)).alias("parts"), (F.max("n") <= capacity + 1).alias("within"))
+
+
+@query("j18_contraction", f"WITH {FLOW}, {_FIDS} SELECT (SELECT count(*) FROM ids) AS vertices, (SELECT sum(weight)::BIGINT FROM flow) AS weight, true AS better")
+def j18_contraction(spark, d):
+    """Communities cover all vertices, keep the weight, and are more modular than single vertices."""
+    g = flow(spark, d)
+    labels = stored(communities.agglomerate(g, both=True), "labels")
+    alone = g.ids().withColumn("label", F.col("id"))
+    better = stats.quality(g, labels).select(F.col("modularity").alias("a")).crossJoin(stats.quality(g, alone).select(F.col("modularity").alias("b")))  # single rows
+    n = labels.agg(F.count(F.lit(1)).alias("vertices")).crossJoin(g.edges.agg(F.sum("weight").alias("weight")))  # single rows
+    return n.crossJoin(better.select((F.col("a") > F.col("b")).alias("better")))
+
+
 @query("j21_matvec_min_plus", f"WITH {_DEG} SELECT e.src AS id, min(e.weight + d.degree) AS value FROM edges e JOIN deg d ON d.id = e.dst GROUP BY e.src")
 def j21_matvec_min_plus(spark, d):
     g = held(spark, d)

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from graphrill.model import Graph
 from graphrill.operators import communities, ranking, stats, structure
 from graphrill.operators.extract import induced
+from graphrill.operators.mutate import DEFAULTS
 from graphrill.operators.traverse import affected
-from graphrill.session import cut
+from graphrill.session import broadcast_if_small, cut
 
 
 def ends(g: Graph, batch: DataFrame, op: str | None = None) -> DataFrame:
-    """(src, dst) of the batch's edges through the names of ``g``; rows that name nothing are left out."""
+    """(src, dst) of the batch's edges through the names of ``g``, unset ends as apply_batch takes them; strings that are no
+    name are left out."""
     rows = batch.where(F.col("op").isin("insert", "delete") if op is None else F.col("op") == op)
     names = g.names.where("kind = 'vertex'")
     for end in ("src", "dst"):
         known = names.select(F.col("name").alias("_n"), F.col("id").alias("_i"))
         rows = rows.join(known, F.col(f"{end}_str") == F.col("_n"), "left")
-        rows = rows.withColumn(end, F.when(F.length(f"{end}_str") > 0, F.col("_i")).otherwise(F.col(end))).drop("_n", "_i")
+        rows = rows.withColumn(end, F.when(F.length(f"{end}_str") > 0, F.col("_i")).otherwise(F.coalesce(end, F.lit(DEFAULTS[end])))).drop("_n", "_i")
     return rows.select("src", "dst").dropna()
 
 
@@ -94,8 +96,10 @@ class Components:
         redone = structure.components(induced(g, open_)).join(open_, "id", "left_semi")
         known = old.join(open_, "id", "left_anti").unionByName(redone.select("id", "label"))
         known = cut(known.unionByName(g.ids().join(known, "id", "left_anti").select("id", F.col("id").alias("label"))))
-        # The batch's insertions link labels; only this small graph of labels is searched.
-        new = ends(g, batch, "insert")
+        # The batch's insertions link labels, as far as its deletions left them; only this small graph of labels is searched.
+        new = ends(g, batch, "insert").distinct()
+        new = new.union(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+        new = g.edges.select("src", "dst").join(broadcast_if_small(new), ["src", "dst"], "left_semi")
         by = lambda end: known.select(F.col("id").alias(end), F.col("label").alias(f"l_{end}"))
         between = new.join(by("src"), "src").join(by("dst"), "dst").select(F.col("l_src").alias("src"), F.col("l_dst").alias("dst")).where("src <> dst").distinct()
         joined = structure.components(Graph.of(between)).select(F.col("id").alias("label"), F.col("label").alias("to"))

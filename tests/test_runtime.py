@@ -39,6 +39,15 @@ def test_incremental_equals_static(spark, text, ops):
         assert set(column(g.results["components"], "component_size").values()) == {4}
 
 
+def test_inserted_and_deleted_at_once(spark):
+    e = engine(spark, "0-1 2-3", analytics.Components(), analytics.Triangles(), directed=False)
+    e.apply(batch(spark, "+1>2", "-1>2", "+0>4", "+0>1"), 0)
+    assert column(e.graph.results["components"], "label") == column(structure.components(e.graph), "label") == {0: 0, 1: 0, 4: 0, 2: 2, 3: 2}
+    half = [(1, 0, "insert", 0, None, None, None, None, None, 1, 10, None, None, None, None)]
+    e.apply(spark.createDataFrame(half, FEED), 1)
+    assert column(e.graph.results["components"], "label") == column(structure.components(e.graph), "label")
+
+
 def test_replay_and_restart(spark):
     e = engine(spark, "0>1", analytics.RateMonitor())
     b = batch(spark, "+0>1", "+1>2")
