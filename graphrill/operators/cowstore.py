@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphrill.session import release
+
 KEY = ["etype", "src", "dst"]
 #: A row is what the insertions of an edge at one time brought (deleted_at is then the last deletion before it, if any), or
 #: the last deletion of an edge (weight and times are then null).
@@ -91,6 +93,7 @@ class EdgeStore:
         """Writes ``rows``, which are in tasks by bucket; {bucket: folder} of the buckets that have rows."""
         root = f"{self.path}/{version}"
         rows.sortWithinPartitions("bucket", *KEY).write.partitionBy("bucket").parquet(root)
+        release(self.spark)
         names = [s.getPath().getName() for s in self._fs.listStatus(self._jpath(root))]
         return {n.split("=")[1]: f"{root}/{n}" for n in names if n.startswith("bucket=")}
 
