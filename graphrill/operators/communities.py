@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphrill.model import Graph
 from graphrill.operators.columns import positions
-from graphrill.session import cut
+from graphrill.session import cut, cut_and_count
 
 
 def pair_modularity(g: Graph) -> DataFrame:
@@ -29,9 +29,9 @@ def adopt_labels(g: Graph, most: int = 20) -> DataFrame:
     state = cut(g.ids().withColumn("label", F.col("id")))
     for _ in range(most):
         labels = state.select(F.col("id").alias("follows"), F.col("label").alias("new"))
-        moved = cut(state.join(best.join(labels, "follows"), "id", "left").select("id", F.coalesce("new", "label").alias("label"), F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved")))
+        moved, n = cut_and_count(state.join(best.join(labels, "follows"), "id", "left").select("id", F.coalesce("new", "label").alias("label"), F.coalesce(F.col("new") != F.col("label"), F.lit(False)).alias("moved")), "moved")
         state = moved.drop("moved")
-        if not moved.where("moved").limit(1).count():
+        if not n:
             break
     return state
 
@@ -64,9 +64,9 @@ def _scored(e: DataFrame, d: DataFrame, how: str) -> DataFrame:
 
 def _matching(s: DataFrame) -> DataFrame:
     """(i, j): a greedy maximal matching by score, then the lower (i, j): edges that are best for both ends, until none is left."""
-    s = cut(s.where("score > 0"))
+    s, left = cut_and_count(s.where("score > 0"))
     matched = s.sparkSession.createDataFrame([], "i bigint, j bigint")
-    while s.limit(1).count():
+    while left:
         rank = F.struct("score", (-F.col("i")).alias("a"), (-F.col("j")).alias("b"))
         ends = s.select(F.col("i").alias("v"), rank.alias("r")).union(s.select("j", rank))
         best = ends.groupBy("v").agg(F.max("r").alias("r"))
@@ -74,7 +74,7 @@ def _matching(s: DataFrame) -> DataFrame:
         pairs = cut(twice.select((-F.col("r.a")).alias("i"), (-F.col("r.b")).alias("j")))
         matched = matched.union(pairs)
         gone = pairs.select("i").union(pairs.select("j"))
-        s = cut(s.join(gone, "i", "left_anti").join(gone.withColumnRenamed("i", "j"), "j", "left_anti"))
+        s, left = cut_and_count(s.join(gone, "i", "left_anti").join(gone.withColumnRenamed("i", "j"), "j", "left_anti"))
     return matched
 
 
@@ -111,8 +111,8 @@ def agglomerate(g: Graph, how: str = "cnm", most: int = 100, coverage: float | N
         if largest is not None:
             sizes = labels.groupBy(F.col("label").alias("i")).agg(F.count(F.lit(1)).alias("n"))
             s = s.join(sizes, "i").join(sizes.select(F.col("i").alias("j"), F.col("n").alias("n_j")), "j").where(F.col("n") + F.col("n_j") <= largest).select("i", "j", "w", "score")
-        merged = cut(_matching(s))
-        if not merged.limit(1).count():
+        merged, n = cut_and_count(_matching(s))
+        if not n:
             break
         # j joins i, which is lower.
         to = merged.select(F.col("j").alias("old"), F.col("i").alias("new"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphrill.model import EDGE, KEY, Graph
 from graphrill.operators.columns import positions
 from graphrill.operators.naming import once
-from graphrill.session import broadcast_if_small, cut, partitions
+from graphrill.session import broadcast_if_small, cut, partitions, stored
 
 #: Columns of a batch of edges: KEY, weight, time, and ord, which breaks ties of time.
 BATCH = [*KEY, "weight", "time", "ord"]
@@ -127,14 +127,11 @@ def new_names(g: Graph, rows: DataFrame) -> Graph:
     rows = rows.where(F.length("name") > 0).groupBy("kind", "name").agg(F.min("ord").alias("ord"))
     missing = rows.join(g.names.select("kind", "name"), ["kind", "name"], "left_anti")
     top = F.broadcast(g.names.groupBy("kind").agg(F.max("id").alias("top")))  # one row a kind
-    parts = [g.names.select("kind", "id", "name")]
-    for kind in ("vertex", "etype", "vtype"):
-        numbered = positions(missing.where(F.col("kind") == kind), [F.col("ord"), F.col("name")]).join(top, "kind", "left")
-        parts.append(numbered.select("kind", (F.coalesce("top", F.lit(-1)) + 1 + F.col("pos")).cast("bigint").alias("id"), "name"))
-    names = parts[0]
-    for p in parts[1:]:
-        names = names.union(p)
-    return g.with_(names=names)
+    numbered = stored(positions(missing, [F.col("kind"), F.col("ord"), F.col("name")]), "names")
+    first = F.broadcast(numbered.groupBy("kind").agg(F.min("pos").alias("first")))  # one row a kind
+    numbered = numbered.join(first, "kind").join(top, "kind", "left")
+    new = numbered.select("kind", (F.coalesce("top", F.lit(-1)) + 1 + F.col("pos") - F.col("first")).cast("bigint").alias("id"), "name")
+    return g.with_(names=g.names.select("kind", "id", "name").union(new))
 
 
 def resolve(names: DataFrame, rows: DataFrame, kind: str, string: str, number: str, default: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphrill.model import Graph
-from graphrill.session import broadcast_if_small, cut
+from graphrill.session import broadcast_if_small, cut, cut_and_count
 
 #: A search that has not ended after so many rounds is an error, not a cut.
 MOST_ROUNDS = 100_000
@@ -34,10 +34,11 @@ def distances(g: Graph, sources: DataFrame, etype: int | None = None, unweighted
     for _ in range(MOST_ROUNDS):
         reached = broadcast_if_small(frontier).join(arcs, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
         best = reached.groupBy("source", "id").agg(F.min("dist").alias("new"))
-        merged = cut(found.join(best, ["source", "id"], "full").select("source", "id", F.least("dist", "new").alias("dist"), (F.col("dist").isNull() | (F.col("new") < F.col("dist"))).alias("fell")))
+        fell = F.col("dist").isNull() | F.coalesce(F.col("new") < F.col("dist"), F.lit(False))
+        merged, n = cut_and_count(found.join(best, ["source", "id"], "full").select("source", "id", F.least("dist", "new").alias("dist"), fell.alias("fell")), "fell")
         frontier = merged.where("fell").drop("fell")
         found = merged.drop("fell")
-        if not frontier.limit(1).count():
+        if not n:
             return found
     raise RuntimeError("the search did not end")
 
@@ -90,8 +91,8 @@ def bfs_edges(g: Graph, source: int, etype: int | None = 0) -> DataFrame:
     for level in range(1, MOST_ROUNDS):
         step = broadcast_if_small(frontier.select("id")).join(arcs, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
         new = step.select(F.lit(level).alias("level"), "parent", F.col("dst").alias("id")).join(seen.select("id"), "id", "left_anti")
-        frontier = cut(new.select("level", "parent", "id"))
-        if not frontier.limit(1).count():
+        frontier, n = cut_and_count(new.select("level", "parent", "id"))
+        if not n:
             return seen.where("parent IS NOT NULL")
         seen = seen.union(frontier)
     raise RuntimeError("the search did not end")

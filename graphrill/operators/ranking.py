@@ -10,21 +10,18 @@ from pyspark.sql import functions as F
 
 from graphrill.model import Graph
 from graphrill.operators.extract import induced
-from graphrill.session import cut
+from graphrill.session import cut, cut_and_measure
 
-#: The state of a loop is held in the shared folder every so many rounds.
-EVERY = 5
+def _rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int, epsilon: float | None) -> DataFrame:
+    """Applies ``step`` (id, rank, ...) -> with old, until the L1 change of rank is within epsilon or ``most`` rounds are done.
 
-
-def _rounds(state: DataFrame, step: Callable[[DataFrame], DataFrame], most: int, epsilon: float | None, every: int = EVERY) -> DataFrame:
-    """Applies ``step`` (id, rank, ...) -> with old, until the L1 change of rank is within epsilon or ``most`` rounds are done."""
-    for i in range(most):
-        new = step(state)
-        if epsilon is not None or (i + 1) % every == 0:
-            new = cut(new)
-        if epsilon is not None and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).head()[0] <= epsilon:
-            return new.drop("old")
-        state = new.drop("old")
+    A round reads its state more than once, so each is held in the shared folder; the same job gives the change.
+    """
+    for _ in range(most):
+        state, seen = cut_and_measure(step(state), change=F.sum(F.abs(F.col("rank") - F.col("old"))))
+        state = state.drop("old")
+        if epsilon is not None and seen["change"] <= epsilon:
+            break
     return state
 
 
@@ -32,8 +29,8 @@ def pagerank(g: Graph, etype: int | None = None, damping: float = 0.85, epsilon:
     """(id, rank) of all vertices. Edges of different types count apart; weights do not count.
 
     The rank of vertices without out edges is spread over all. By default such a vertex takes nothing over its own in edges,
-    as users of this rule expect; ``dangling_receives`` gives the textbook rule. ``epsilon`` None runs ``most`` rounds
-    without a job for each. ``start`` (id, rank) is a rank to start from, for warm starts.
+    as users of this rule expect; ``dangling_receives`` gives the textbook rule. ``epsilon`` None runs all
+    ``most`` rounds. ``start`` (id, rank) is a rank to start from, for warm starts.
 
     A round is one join of the edges with the ranks by source and one sum by destination, combined before the shuffle; the
     sum of the ranks without out edges is one row.

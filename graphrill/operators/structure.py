@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphrill.model import Graph
 from graphrill.operators.lookups import heavy, lookup
 from graphrill.operators.paths import MOST_ROUNDS
-from graphrill.session import broadcast_if_small, cut
+from graphrill.session import broadcast_if_small, cut, cut_and_count
 
 
 def components(g: Graph, etype: int | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def components(g: Graph, etype: int | None = None) -> DataFrame:
     least, until the links no longer change. So the rounds grow with the logarithm of the size, not with the diameter, and
     links never multiply.
     """
-    links = cut(g.links(etype))
+    links, count = cut_and_count(g.links(etype))
     while True:
         # Greater neighbours go to the least vertex around: a hub is joined by its least neighbour only.
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,12 +28,12 @@ def components(g: Graph, etype: int | None = None) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
         lowest = down.groupBy("v").agg(F.min("u").alias("m"))
         small = _spread_join(down, lowest).select(F.col("m").alias("a"), F.col("u").alias("b")).where("a <> b").union(lowest.select(F.col("m").alias("a"), F.col("v").alias("b"))).distinct()
-        new = cut(small)
+        new, n = cut_and_count(small)
         # Equal sizes and no link that is new: the links are stars.
-        if new.join(links, ["a", "b"], "left_anti").limit(1).count() == 0 and new.count() == links.count():
+        if n == count and new.join(links, ["a", "b"], "left_anti").isEmpty():
             stars = new.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("label"))
             return g.ids().join(stars, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-        links = new
+        links, count = new, n
 
 
 def _spread_join(rows: DataFrame, least: DataFrame) -> DataFrame:
@@ -50,8 +50,8 @@ def min_reachable(g: Graph, etype: int | None = None) -> DataFrame:
         # Only vertices whose label fell can lower others.
         moved = state.where("fell").select(F.col("id").alias("dst"), "label")
         low = arcs.join(broadcast_if_small(moved), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("new"))
-        state = cut(state.join(low, "id", "left").select("id", F.least("label", "new").alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("fell")))
-        if not state.where("fell").limit(1).count():
+        state, n = cut_and_count(state.join(low, "id", "left").select("id", F.least("label", "new").alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("fell")), "fell")
+        if not n:
             return state.drop("fell")
     raise RuntimeError("the labels did not settle")
 
@@ -75,8 +75,8 @@ def kcore(g: Graph) -> DataFrame:
         state = cut(state.join(first.withColumnRenamed("src", "id"), "id", "left").select("id", "label", F.coalesce("n", "count").alias("count")))
         ends = state.where((F.col("label") >= k) & (F.col("count") > k)).select(F.col("id").alias("dst"))
         second = e.join(now, "src", "left_semi").join(ends, "dst", "left_semi").groupBy("src").agg(F.sum("c").alias("n")).where(F.col("n") > k)
-        up = cut(second.select(F.col("src").alias("id"), F.lit(k + 1).alias("up")))
-        if not up.limit(1).count():
+        up, n = cut_and_count(second.select(F.col("src").alias("id"), F.lit(k + 1).alias("up")))
+        if not n:
             return state
         state = cut(state.join(up, "id", "left").select("id", F.coalesce("up", "label").alias("label"), "count"))
 
@@ -99,8 +99,8 @@ def kcore_exact(g: Graph) -> DataFrame:
         start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("best"))
         fold = lambda a, x: F.struct((a["n"] + x["c"]).alias("n"), F.greatest(a["best"], F.least(x["h"], a["n"] + x["c"])).alias("best"))
         new = lists.select("id", F.aggregate("l", start, fold, lambda a: a["best"]).alias("new"))
-        joined = cut(state.join(new, "id", "left").select("id", F.coalesce(F.least("core", "new"), "core").alias("core"), F.coalesce(F.col("new") < F.col("core"), F.lit(False)).alias("fell")))
-        if not joined.where("fell").limit(1).count():
+        joined, n_fell = cut_and_count(state.join(new, "id", "left").select("id", F.coalesce(F.least("core", "new"), "core").alias("core"), F.coalesce(F.col("new") < F.col("core"), F.lit(False)).alias("fell")), "fell")
+        if not n_fell:
             return joined.drop("fell")
         state = joined.drop("fell")
 
@@ -167,8 +167,8 @@ def betweenness(g: Graph, samples: int | None = None, seed: int = 0) -> DataFram
     seen = frontier.select("s", "id")
     while True:
         step = frontier.join(arcs, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum(F.col("sigma") * F.col("c")).alias("sigma"))
-        frontier = cut(step.join(seen, ["s", "id"], "left_anti"))
-        if not frontier.limit(1).count():
+        frontier, n = cut_and_count(step.join(seen, ["s", "id"], "left_anti"))
+        if not n:
             break
         levels.append(frontier)
         seen = seen.union(frontier.select("s", "id"))
@@ -210,7 +210,7 @@ def independent_set(g: Graph, seed: int = 0) -> DataFrame:
         won = cut(open_.join(least, "id", "left").where(F.col("least").isNull() | (F.col("h") < F.col("least"))).select("id"))
         chosen = chosen.union(won)
         gone = won.union(n.join(won, "id", "left_semi").select("nbr")).distinct()
-        open_ = cut(open_.join(gone, "id", "left_anti"))
-        if not open_.limit(1).count():
+        open_, left = cut_and_count(open_.join(gone, "id", "left_anti"))
+        if not left:
             return chosen
         n = cut(n.join(open_.select("id"), "id", "left_semi").join(open_.select(F.col("id").alias("nbr")), "nbr", "left_semi").select("id", "nbr"))

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only if Catalyst's estimate of its size is at most this.
@@ -58,6 +58,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def cut_and_measure(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """cut(df), and aggregates of its rows that the same job computes.
+
+    A task that runs twice may count twice, so measures decide only whether a loop goes on or how it spreads its rows.
+    """
+    seen = Observation()
+    return cut(df.observe(seen, *[c.alias(n) for n, c in measures.items()])), seen.get
+
+
+def cut_and_count(df: DataFrame, condition: Column | str | None = None) -> tuple[DataFrame, int]:
+    """cut(df), and how many rows it has, or for how many the condition holds."""
+    one = F.lit(True) if condition is None else F.expr(condition) if isinstance(condition, str) else condition
+    held, measures = cut_and_measure(df, n=F.count_if(one))
+    return held, measures["n"]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of steps whose results are written; it does so when the driver collects garbage."""
     gc.collect()
