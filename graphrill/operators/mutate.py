@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphrill.model import EDGE, KEY, Graph
 from graphrill.operators.columns import positions
 from graphrill.operators.naming import once
-from graphrill.session import broadcast_if_small, cut, partitions, stored
+from graphrill.session import broadcast_if_small, cut, is_small, partitions, stored
 
 #: Columns of a batch of edges: KEY, weight, time, and ord, which breaks ties of time.
 BATCH = [*KEY, "weight", "time", "ord"]
@@ -33,19 +33,27 @@ def insert(g: Graph, rows: DataFrame, how: str = "set", pairs: bool = False) ->
     """``g`` with the edges of ``rows`` (see batch) inserted or updated.
 
     'set': the weight is that of the last row in the order (time, ord); 'incr': the sum, added to that of an existing edge.
-    A new edge has time_first from its first row; time_recent is that of the last row, even if it is older than before. One
-    aggregation of the rows, combined before the shuffle, and one of edges and rows by key: a hot key costs no task.
+    A new edge has time_first from its first row; time_recent is that of the last row, even if it is older than before. The
+    rows are aggregated by key, combined before the shuffle. If what is left of them is estimated to be small, it is
+    broadcast and the edges stay where they are; else edges and rows meet by key.
     """
     rows = batch(rows)
     if pairs:
         rows = mirrored(rows)
-    last = F.max(F.struct("time", "ord", "weight"))
-    new = rows.groupBy(*KEY).agg(F.sum("weight").alias("sum"), F.min("time").alias("first"), last.alias("last"))
-    new = new.select(*KEY, (F.col("last.weight") if how == "set" else F.col("sum")).alias("_w"), F.col("first").alias("_first"), F.col("last.time").alias("_last"))
-    both = g.edges.join(new, KEY, "full")
+    new = rows.groupBy(*KEY).agg(F.min("time").alias("_first"), *(
+        [F.sum("weight").alias("_w"), F.max("time").alias("_last")] if how == "incr"
+        else [F.max(F.struct("time", "ord", "weight")).alias("_end")]
+    ))
+    if how == "set":
+        new = new.select(*KEY, "_first", F.col("_end.weight").alias("_w"), F.col("_end.time").alias("_last"))
     weight = F.coalesce("_w", "weight") if how == "set" else F.coalesce(F.col("weight") + F.col("_w"), "_w", "weight")
-    edges = both.select(*KEY, weight.alias("weight"), F.coalesce("time_first", "_first").alias("time_first"), F.coalesce("_last", "time_recent").alias("time_recent"))
-    return g.with_(edges=edges.select(*EDGE))
+    values = [weight.alias("weight"), F.coalesce("time_first", "_first").alias("time_first"), F.coalesce("_last", "time_recent").alias("time_recent")]
+    if not is_small(new):
+        return g.with_(edges=g.edges.join(new, KEY, "full").select(*KEY, *values))
+    updated = g.edges.join(F.broadcast(new), KEY, "left").select(*KEY, *values)
+    there = g.edges.select(*KEY).join(F.broadcast(new.select(*KEY)), KEY, "left_semi")  # no more rows than new
+    created = new.join(F.broadcast(there), KEY, "left_anti").select(*KEY, F.col("_w").alias("weight"), F.col("_first").alias("time_first"), F.col("_last").alias("time_recent"))
+    return g.with_(edges=updated.unionByName(created))
 
 
 def insert_results(g: Graph, rows: DataFrame) -> DataFrame:

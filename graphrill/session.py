@@ -93,12 +93,17 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Is the estimated size of ``df``, times four for decompression, within ``limit``?"""
+    return 4 * estimated_bytes(df) <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its estimated size, times four for decompression, is within ``limit``.
 
     Beyond the limit no hint is given and the join shuffles both sides.
     """
-    return F.broadcast(df) if 4 * estimated_bytes(df) <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:

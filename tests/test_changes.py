@@ -54,6 +54,18 @@ def test_batch_duplicates(spark):
     assert {(r["weight"], r["time_first"], r["time_recent"]) for r in mutate.insert(Graph.empty(spark), b, "set").edges.collect()} == {(9, 0, 9)}
 
 
+def test_insert_with_and_without_broadcast(spark, monkeypatch):
+    r = random.Random(2)
+    b = spark.createDataFrame([(0, r.randrange(6), r.randrange(6), r.randrange(9), r.randrange(50), i) for i in range(80)], BATCH)
+    g = graph(spark, "0>1:3 1>2:4 5>5:2")
+    for how in ("set", "incr"):
+        got = []
+        for small in (True, False):
+            monkeypatch.setattr(mutate, "is_small", lambda df, small=small: small)
+            got.append(rows(mutate.insert(g, b, how).edges))
+        assert got[0] == got[1] and len(got[0]) > 20
+
+
 def test_defaults_and_older_time(spark):
     g = mutate.insert(Graph.empty(spark), spark.createDataFrame([(None, None, None, None, None, 0)], BATCH), "incr")
     assert rows(g.edges) == [(0, 0, 1, 1, 1, 1)]
