@@ -12,14 +12,16 @@ from graphrill.functions.rpc import Rpc
 from graphrill.functions.sql import built_in, sql
 from graphrill.model import EDGE, KEY, Graph
 from graphrill.operators import mutate, ranking, stats, structure
+from graphrill.operators.cowstore import EdgeStore
 from graphrill.operators.feed import ROW
 from graphrill.operators.naming import once
-from graphrill.plans import table
+from graphrill.plans import data_queries, table
 from graphrill.plans.graph_queries import hub, hubs
 from graphrill.plans.graphs import held, held_edges, trade
 from graphrill.session import fresh_path, stored
 from graphrill.sources import files, generate, sinks, templates
 from graphrill.streaming import analytics, runtime, sessions
+from graphrill.streaming.changes import follow
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -461,6 +463,20 @@ def i06_streamed_state(spark, d):
     return e.groupBy("etype").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").cast("bigint").alias("weight"))
 
 
+@query("i06_streamed_store", data_queries.SQL["p6_state"])
+def i06_streamed_store(spark, d):
+    """The feed as a stream of three micro-batches into a store of buckets; the state is that of all changes in their order."""
+    path, _ = _feed_folder(spark, d, 3)
+    store = EdgeStore(spark, fresh_path(spark, "edges"), 8)
+    store.load(table(spark, d, "edges"))
+    q = follow(store, runtime.read_feed(spark, path), table(spark, d, "batches"), table(spark, d, "name_map"), fresh_path(spark, "offsets"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return store.edges()
+
+
 @query("i10_streamed_equals_static", "SELECT 0::BIGINT AS different, true AS some")
 def i10_streamed_equals_static(spark, d):
     """Incremental components and triangles against those computed anew on the last state: no vertex differs."""
