@@ -40,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="graphrill-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not sc.getCheckpointDir():
