@@ -150,5 +150,17 @@ c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k,
 SELECT doc_id, length(t)::INT AS chars, len(w)::INT AS words, coalesce(c.n, 0)::INT AS repeated_words,
   len(list_filter(string_split(t, chr(10)), lambda x: length(trim(x, ' ')) > 0))::INT AS lines,
   len(list_filter([STOPS], lambda x: list_contains(w, x)))::INT AS stop_words FROM d LEFT JOIN c USING (doc_id)""",
+    "p9_flags": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("text")} AS w FROM documents),
+g AS (SELECT doc_id, k, array_to_string(w[k:k + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d)),
+s AS (SELECT doc_id, k FROM g QUALIFY k > min(k) OVER (PARTITION BY doc_id, g)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM s) GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))) / len(w), 0) AS l, len(list_filter([STOPS], lambda x: list_contains(w, x))) AS st,
+  CASE WHEN length(t) > 0 THEN length(regexp_replace(replace(t, chr(0), '!'), '[\\p{{L}}\\p{{N}}\\s]', '', 'g')) / length(t) ELSE 0 END AS sy,
+  list_filter(string_split(t, chr(10)), lambda x: length(trim(x, ' ')) > 0) AS x, CASE WHEN len(w) > 0 THEN coalesce(c.n, 0) / len(w) ELSE 0 END AS r FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, array_to_string(list_filter([CASE WHEN n < 50 THEN 'too_short' END, CASE WHEN l < 3 OR l > 10 THEN 'word_length' END, CASE WHEN sy > 0.1 THEN 'symbols' END, CASE WHEN st < 2 THEN 'stop_words' END,
+  CASE WHEN len(x) > 0 AND (len(x) - len(list_distinct(x))) / len(x) > 0.3 THEN 'repeated_lines' END,
+  CASE WHEN len(x) > 0 AND len(list_filter(x, lambda y: regexp_matches(ltrim(y, ' '), '^[-*•#]'))) / len(x) > 0.9 THEN 'bullet_lines' END,
+  CASE WHEN len(x) > 0 AND len(list_filter(x, lambda y: ends_with(rtrim(y, ' '), '...') OR ends_with(rtrim(y, ' '), '…'))) / len(x) > 0.3 THEN 'ellipsis_lines' END,
+  CASE WHEN r >= 0.3 THEN 'repetition' END], lambda y: y IS NOT NULL), ',') AS reasons FROM m""",
 }
-SQL["p9_measures"] = SQL["p9_measures"].replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS))
+SQL |= {n: SQL[n].replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS)) for n in ("p9_measures", "p9_flags")}

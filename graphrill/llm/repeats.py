@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrill.llm.words import hashes, let, normal, words
+from graphrill.llm.words import hashes, words
+from graphrill.session import let
 
 RUN = 8
 #: Frequent words of the six languages of the corpus; fixed values.
@@ -118,4 +119,4 @@ def flagged(docs: DataFrame, text: str, thresholds: list[Threshold] = THRESHOLDS
     return rows.withColumn("reasons", F.array_compact(names))
 
 
-__all__ = ["MEASURES", "THRESHOLDS", "Threshold", "flagged", "measured", "normal", "repeated_words"]
+__all__ = ["MEASURES", "THRESHOLDS", "Threshold", "flagged", "measured", "repeated_words"]

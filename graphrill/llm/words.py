@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphrill.session import let
-
 
 def normal(text: Column) -> Column:
     """``text`` in NFC, lower case; null counts as empty. NFC is a static method of a library that ships with Spark."""
@@ -21,6 +19,3 @@ def words(text: Column) -> Column:
 def hashes(tokens: Column) -> Column:
     """64-bit hashes of the strings in ``tokens``."""
     return F.transform(tokens, lambda w: F.xxhash64(w))
-
-
-__all__ = ["hashes", "let", "normal", "words"]
