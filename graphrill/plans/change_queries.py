@@ -379,7 +379,7 @@ def i10_streamed_components(spark, d):
     return _streamed(spark, d, [analytics.Components()]).graph.results["components"]
 
 
-@query("i14_session_changes")
+@query("i14_session_changes", f"WITH {_HUB} SELECT {', '.join('e.' + c for c in EDGE)} FROM edges e JOIN vertices a ON a.id = e.src JOIN vertices b ON b.id = e.dst WHERE e.etype = 2 AND a.vtype = b.vtype AND a.vtype = (SELECT vtype FROM vertices WHERE id = (SELECT id FROM hub))")
 def i14_session_changes(spark, d):
     g = held(spark, d).with_(results={"types": held(spark, d).vertices.select("id", "vtype")})
     s = sessions.Subgraph(g, "types", "vtype", hub(g))

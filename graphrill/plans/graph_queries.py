@@ -276,7 +276,8 @@ def f06_samples(spark, d):
     return columns.data_array(stats.degrees(held(spark, d)), "degree", samples=100)
 
 
-@query("f07_log_samples")
+@query("f07_log_samples", f"""WITH {_DEG}, n AS (SELECT count(*) AS n FROM deg), p AS (SELECT 0::BIGINT AS pos UNION SELECT least(n - 1, round(pow(pow(n, 1.0 / 15), i.range)))::BIGINT FROM n, range(16) i)
+SELECT id, degree FROM (SELECT id, degree, row_number() OVER (ORDER BY id) - 1 AS pos FROM deg) WHERE pos IN (SELECT pos FROM p)""")
 def f07_log_samples(spark, d):
     return columns.data_array(stats.degrees(held(spark, d)), "degree", samples=16, log=True)
 
