@@ -200,16 +200,31 @@ def e09_size_histogram(spark, d):
     return stats.size_histogram(structure.components(sparse(spark, d)))
 
 
+@query("e09_size_histogram_whole")
+def e09_size_histogram_whole(spark, d):
+    return stats.size_histogram(structure.components(held_edges(spark, d)))
+
+
 @query("e10_component_sizes", f"WITH RECURSIVE {SPARSE}, {_SIDS}, {_SLINKS}{_COMPONENTS} SELECT label, count(*) AS size FROM comp GROUP BY label")
 def e10_component_sizes(spark, d):
     return stats.label_sizes(structure.components(sparse(spark, d)))
 
 
+@query("e10_component_sizes_whole")
+def e10_component_sizes_whole(spark, d):
+    return stats.label_sizes(structure.components(held_edges(spark, d)))
+
+
 @query("e11_component_stats", f"WITH RECURSIVE {SPARSE}, {_SIDS}, {_SLINKS}{_COMPONENTS} SELECT count(*) AS components, min(size) AS min_size, max(size) AS max_size, round(avg(size), 6) AS avg_size FROM (SELECT count(*) AS size FROM comp GROUP BY label)")
 def e11_component_stats(spark, d):
     return rounded(stats.label_stats(structure.components(sparse(spark, d))), "avg_size")
 
 
+@query("e11_component_stats_whole")
+def e11_component_stats_whole(spark, d):
+    return rounded(stats.label_stats(structure.components(held_edges(spark, d))), "avg_size")
+
+
 @query("e12_graph_stats", "SELECT count(*) FILTER (kind = 'vertex') AS vertices, count(*) FILTER (kind = 'etype') AS edge_types, count(*) FILTER (kind = 'vtype') AS vertex_types, (SELECT count(*) FROM edges) AS edges, (SELECT max(time_recent) FROM edges) AS max_time FROM name_map")
 def e12_graph_stats(spark, d):
     return stats.graph_stats(held(spark, d))
@@ -346,6 +361,12 @@ def g06_component_of(spark, d):
     return extract.members(structure.components(g), g.edges.agg(F.min("src")).head()[0])
 
 
+@query("g06_component_of_whole")
+def g06_component_of_whole(spark, d):
+    g = held_edges(spark, d)
+    return extract.members(structure.components(g), g.edges.agg(F.min("src")).head()[0])
+
+
 @query("g07_group_egonet", f"WITH {_HUBS}, {_BOTH}, n AS (SELECT nbr AS id FROM both_ways WHERE id IN (SELECT id FROM hubs) UNION SELECT id FROM hubs) SELECT {_EDGE} FROM edges WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n)")
 def g07_group_egonet(spark, d):
     g = held(spark, d)
@@ -400,6 +421,12 @@ def j06_components(spark, d):
     return structure.components(sparse(spark, d))
 
 
+@query("j06_components_whole")
+def j06_components_whole(spark, d):
+    """All edges of all types; j06_components sees only the small graph that the recursive SQL can follow."""
+    return structure.components(held_edges(spark, d))
+
+
 @query("j06_typed_components", f"WITH {_IDS}, {unrolled('SELECT id, id AS label FROM ids', 'SELECT id, min(label) AS label FROM (SELECT id, label FROM {p} UNION ALL SELECT l.nbr, s.label FROM {p} s JOIN (SELECT src AS id, dst AS nbr FROM edges WHERE etype = 5 UNION SELECT dst, src FROM edges WHERE etype = 5) l ON l.id = s.id) GROUP BY id', _HOPS)} SELECT id, label FROM s{_HOPS}")
 def j06_typed_components(spark, d):
     return structure.components(held_edges(spark, d), 5)
