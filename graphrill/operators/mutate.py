@@ -10,7 +10,7 @@ from graphrill.operators.columns import positions
 from graphrill.operators.naming import once
 from graphrill.session import broadcast_if_small, cut, is_small, partitions, stored
 
-#: Columns of a batch of edges: KEY, weight, time, and ord, which breaks ties of time.
+#: Columns of a batch of edges: KEY, weight, time, and ord, of any type with an order, which breaks ties of time.
 BATCH = [*KEY, "weight", "time", "ord"]
 #: What unset fields of an update mean; fixed values of the message format.
 DEFAULTS = {"etype": 0, "src": 0, "dst": 1, "weight": 1, "time": 1}
@@ -20,7 +20,7 @@ def batch(rows: DataFrame) -> DataFrame:
     """``rows`` with the columns of BATCH: unset fields have DEFAULTS; without ord, rows of equal key and time are equal."""
     have = set(rows.columns)
     value = {c: (F.coalesce(F.col(c), F.lit(DEFAULTS[c])) if c in have else F.lit(DEFAULTS[c])) for c in BATCH[:-1]}
-    return rows.select(*[value[c].cast("bigint").alias(c) for c in BATCH[:-1]], (F.col("ord") if "ord" in have else F.lit(0)).cast("bigint").alias("ord"))
+    return rows.select(*[value[c].cast("bigint").alias(c) for c in BATCH[:-1]], (F.col("ord") if "ord" in have else F.lit(0).cast("bigint")).alias("ord"))
 
 
 def mirrored(rows: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def apply_batch(g: Graph, updates: DataFrame, directed: bool = True) -> Graph:
     and delete both directions. An edge that a batch both inserts and deletes is gone."""
     cols = [c for c in updates.columns if c != "metadata"]
     rows = once(updates, ["batch_id", "seq"], cols)
-    rows = rows.withColumn("ord", F.col("batch_id") * 1_000_000_000 + F.col("seq"))
+    rows = rows.withColumn("ord", F.struct("batch_id", "seq"))
     edges = rows.where(F.col("op").isin("insert", "delete"))
     given = lambda df, kind, column: df.select(F.lit(kind).alias("kind"), F.col(column).alias("name"), "ord")
     wanted = given(rows.where("op = 'insert'"), "vertex", "src_str").union(given(rows.where("op = 'insert'"), "vertex", "dst_str"))

@@ -38,7 +38,7 @@ def _from_strings(spark: SparkSession, rows: DataFrame, numeric: bool = False) -
     g = Graph.empty(spark)
     if numeric:
         rows = rows.withColumns({"src": F.col("s").try_cast("bigint"), "dst": F.col("d").try_cast("bigint")}).dropna(subset=["src", "dst"])
-    name = lambda kind, c, k: rows.select(F.lit(kind).alias("kind"), F.col(c).alias("name"), (F.col("ord") * 2 + k).alias("ord"))
+    name = lambda kind, c, k: rows.select(F.lit(kind).alias("kind"), F.col(c).alias("name"), F.struct("ord", F.lit(k).alias("k")).alias("ord"))
     wanted = name("etype", "e", 0)
     if not numeric:
         wanted = wanted.union(name("vertex", "s", 0)).union(name("vertex", "d", 1))
@@ -83,7 +83,7 @@ def metis_graph(spark: SparkSession, path: str) -> Graph:
     weighted = F.col("fmt") % 10 != 0
     rows = rows.where(~weighted | (F.col("k") % 2 == 0)).where("v > 0")
     w = F.when(weighted, F.try_element_at("rest", F.col("k") + 2)).otherwise(1)
-    named = rows.select((F.col("pos") - 1).cast("string").alias("s"), (F.col("v") - 1).cast("string").alias("d"), F.coalesce(w, F.lit(1)).alias("weight"), F.lit(0).cast("bigint").alias("time"), F.lit(None).cast("string").alias("e"), (F.col("pos") * 1_000_000 + F.col("k")).alias("ord"))
+    named = rows.select((F.col("pos") - 1).cast("string").alias("s"), (F.col("v") - 1).cast("string").alias("d"), F.coalesce(w, F.lit(1)).alias("weight"), F.lit(0).cast("bigint").alias("time"), F.lit(None).cast("string").alias("e"), F.struct("pos", "k").alias("ord"))
     return _from_strings(spark, named)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,16 +65,23 @@ def core(spark: SparkSession, n: int, k: int) -> Graph:
     return Graph.of(rows.union(rows.select("dst", "src")).distinct())
 
 
+def fresh_batch_id() -> int:
+    """A random number below 2^62, from which a writer counts its batches, so that no two writers use the same."""
+    return secrets.randbits(62)
+
+
 class StreamBuffer:
-    """Collects updates and writes them as one batch: by hand, when ``size`` is reached, or at once.
+    """Collects updates and writes them as one batch: by hand, when ``size`` is reached, at once, or ``every`` so many
+    seconds, which add_*, tick and insert_json look at.
 
-    Batches are files of the feed's schema in ``folder``, where a stream or reader of the feed finds them.
+    Batches are files of the feed's schema in ``folder``, where a stream or reader of the feed finds them. (batch_id, seq)
+    tells rows apart for good, also those of other buffers; within a buffer batch_id rises by one from ``batch_id``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, size: int = 0, strings: bool = True):
-        self.spark, self.size, self.strings = spark, size, strings
+    def __init__(self, spark: SparkSession, folder: str | None = None, size: int = 0, strings: bool = True, every: float | None = None, batch_id: int | None = None, clock=time.monotonic):
+        self.spark, self.size, self.strings, self.every, self.clock = spark, size, strings, every, clock
         self.folder = folder or fresh_path(spark, "feed")
-        self.batch_id, self.rows = 0, []
+        self.batch_id, self.rows, self.sent = fresh_batch_id() if batch_id is None else batch_id, [], clock()
 
     def _end(self, x) -> tuple:
         return (None, str(x)) if self.strings or isinstance(x, str) else (int(x), None)
@@ -82,6 +92,11 @@ class StreamBuffer:
         self.rows.append((self.batch_id, len(self.rows), op, *e, *s, *d, weight, time, vtype, set_weight, incr_weight, None))
         if self.size and len(self.rows) > self.size:
             self.send_batch()
+        self.tick()
+
+    def tick(self) -> int:
+        """Sends what was added if the time for it has come; the number of rows."""
+        return self.send_batch() if self.every is not None and self.clock() - self.sent >= self.every else 0
 
     def add_insert(self, source, destination, etype=0, weight: int = 1, time: int = 1) -> None:
         self._add("insert", source, destination, etype, weight, time)
@@ -93,9 +108,13 @@ class StreamBuffer:
         self._add("vertex", vertex, vtype=vtype, set_weight=set_weight, incr_weight=incr_weight)
 
     def insert_json(self, message: dict) -> None:
-        """A message {edges: [{src, dest, type, weight, time}], immediate, strings}; edges that lack an end are left out."""
+        """A message {edges: [{src, dest, type, weight, time}], vertices: [{vertex, type, set_weight, incr_weight}], immediate,
+        strings}; edges that lack an end and vertex updates without a vertex are left out."""
         kept, self.strings = self.strings, message.get("strings", True)
-        for e in message["edges"]:
+        for v in message.get("vertices", []):
+            if v.get("vertex") is not None:
+                self.add_vertex_update(v["vertex"], v.get("type"), v.get("set_weight"), v.get("incr_weight"))
+        for e in message.get("edges", []):
             if e.get("src") is not None and e.get("dest") is not None:
                 self.add_insert(e["src"], e["dest"], e.get("type", 0), int(e.get("weight", 0)), int(e.get("time", 0)))
         self.strings = kept
@@ -108,6 +127,7 @@ class StreamBuffer:
         if n:
             self.spark.createDataFrame(self.rows, FEED).coalesce(1).write.mode("append").parquet(self.folder)
             self.rows, self.batch_id = [], self.batch_id + 1
+        self.sent = self.clock()
         return n
 
     flush = send_batch

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphrill.functions.scalar import compact, ttr_time
+from graphrill.sources.generate import fresh_batch_id
 
 VARIABLE = re.compile(
     r"\$(type_str|type|source_str|source_type|source_weight_incr|source_weight|source|destination_str|destination_type"
@@ -164,8 +165,15 @@ def json_updates(rows: DataFrame, templates: list[str], record: str = "value") -
     return out
 
 
-def feed_rows(edges: DataFrame, batch_id: int = 0) -> DataFrame:
-    """``edges`` of a template as rows of the update feed: an insertion each, and vertex rows for types and weights."""
+def feed_rows(edges: DataFrame, batch_id: int | None = None) -> DataFrame:
+    """``edges`` of a template as rows of the update feed: an insertion each, and vertex rows for types and weights.
+
+    All are one batch, by default of a number that nothing else has. Rows of a stream are numbered anew in each micro-batch,
+    so it has to be called within foreachBatch.
+    """
+    if edges.isStreaming:
+        raise ValueError("feed_rows numbers the rows of one batch; call it within foreachBatch")
+    batch_id = fresh_batch_id() if batch_id is None else batch_id
     blank = lambda t: F.lit(None).cast(t)
     base = edges.withColumn("_seq", F.monotonically_increasing_id() * 3)
     head = [F.lit(batch_id).cast("bigint").alias("batch_id")]

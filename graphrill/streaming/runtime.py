@@ -108,7 +108,8 @@ class StateStore:
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps({"version": version, "last_batch": last_batch, "results": results}).encode()))
         out.close()
-        self._fs.rename(temporary, final)
+        if self._fs.exists(final) or not self._fs.rename(temporary, final):
+            raise RuntimeError(f"version {version} was committed by another writer, or its commit failed")
         old = version - self.keep
         for name in (f"c{old}.json", f"v{old}"):
             if self._fs.exists(self._p(f"{self.path}/{name}")):
