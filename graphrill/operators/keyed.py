@@ -17,6 +17,16 @@ def compress(rows: DataFrame, key: str, value: str, weight: str = "weight") -> D
     return rows.groupBy(F.col(key).alias("key"), F.col(value).alias("value")).agg(F.count(F.lit(1)).alias(weight))
 
 
+def rekeyed(pairs: DataFrame, key: str = "key") -> DataFrame:
+    """Compressed pairs whose keys became others, several of which may be one: equal pairs are added up."""
+    return pairs.groupBy(F.col(key).alias("key"), "value").agg(F.sum("weight").alias("weight"))
+
+
+def totals(pairs: DataFrame) -> DataFrame:
+    """(key, rows) from compressed pairs: the sum of the weights, of as many rows as a key has values."""
+    return pairs.groupBy("key").agg(F.sum("weight").alias("rows"))
+
+
 def counts(pairs: DataFrame) -> DataFrame:
     """(key, rows, distinct_values, mode) from compressed pairs.
 
@@ -61,6 +71,11 @@ def percentiles(pairs: DataFrame, at: dict[str, float]) -> DataFrame:
 
 def profile(rows: DataFrame, key: str, value: str, at: dict[str, float]) -> DataFrame:
     """counts and percentiles of ``value`` for each ``key``, in one table. An empty table gives an empty one."""
-    pairs = cut(compress(rows, key, value))
+    return profile_of(compress(rows, key, value), at)
+
+
+def profile_of(pairs: DataFrame, at: dict[str, float]) -> DataFrame:
+    """profile, from compressed pairs."""
+    pairs = cut(pairs)
     p = percentiles(pairs, at).withColumnRenamed("key", "_key")
     return counts(pairs).join(p, F.col("key").eqNullSafe(F.col("_key")), "left").drop("_key")

@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphrill.session import top_k
+
 #: So many of the most frequent keys are looked up in a broadcast table, whatever the size of the table.
 HEAVY = 200
+#: Keys that the sketch of the most frequent ones holds at once.
+HELD = 8192
+
+
+def heaviest(key: Column) -> Column:
+    """An aggregate: the most frequent values of ``key``, at most HEAVY, from one bounded sketch; nulls do not count.
+
+    Every value of more than a few in HELD of the rows is found. A miss costs balance only, never a row.
+    """
+    return F.filter(top_k(key, HEAVY, HELD)["item"], lambda x: x.isNotNull())
 
 
 def heavy(source: DataFrame, key: Column, table: DataFrame, table_key: str, value: str) -> DataFrame:
-    """(_heavy, _heavy_value): the HEAVY most frequent keys of ``source`` and what ``table`` has for them; at most HEAVY rows."""
-    counted = source.select(key.alias("_heavy")).where(F.col("_heavy").isNotNull()).groupBy("_heavy").agg(F.count(F.lit(1)).alias("_n"))
-    top = counted.orderBy(F.desc("_n"), "_heavy").limit(HEAVY)
+    """(_heavy, _heavy_value): the most frequent keys of ``source`` and what ``table`` has for them; at most HEAVY rows."""
+    top = source.select(key.alias("_key")).where(F.col("_key").isNotNull()).agg(heaviest(F.col("_key")).alias("_top")).select(F.explode("_top").alias("_heavy"))
+    return heavy_of(top, table, table_key, value)
+
+
+def heavy_of(top: DataFrame, table: DataFrame, table_key: str, value: str) -> DataFrame:
+    """heavy, for keys (_heavy) that are known, at most HEAVY."""
     found = table.select(F.col(table_key).alias("_table_key"), F.col(value).alias("_heavy_value"))
     return found.join(F.broadcast(top), F.col("_table_key") == F.col("_heavy")).select("_heavy", "_heavy_value")
 

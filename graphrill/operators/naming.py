@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrill.operators.lookups import heavy, known_first, lookup_rest
-from graphrill.session import broadcast_if_few, broadcast_if_small
+from graphrill.operators.lookups import heavy, heavy_of, known_first, lookup, lookup_rest
+from graphrill.session import broadcast_if_few, is_small
 
 
 def once(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -55,6 +55,12 @@ def heavy_names(source: DataFrame, key: Column, names: DataFrame) -> DataFrame:
     return heavy(source, F.when(key.startswith("s"), key), _dictionary(names, "vertex"), "_name", "_id")
 
 
+def names_of(keys: list[str], names: DataFrame) -> DataFrame:
+    """heavy_names, for string keys that are known to be frequent."""
+    top = names.sparkSession.createDataFrame([(k,) for k in keys], "_heavy string")
+    return heavy_of(top, _dictionary(names, "vertex"), "_name", "_id")
+
+
 def partly_named(rows: DataFrame, key: str, heavy_rows: DataFrame, into: str) -> DataFrame:
     """``rows`` with the ids of numbers and of the names in ``heavy_rows``, whose ``key`` becomes null; nothing moves."""
     return known_first(rows, key, heavy_rows, into, _number(key))
@@ -75,14 +81,28 @@ def epoch(time: Column, sent_at: Column) -> Column:
 
     14 digits that are no date count as unset.
     """
+    return F.coalesce(own_epoch(time), F.unix_seconds(sent_at.cast("timestamp")))
+
+
+def own_epoch(time: Column) -> Column:
+    """Epoch seconds of a time that is set, else null."""
     text = time.cast("string")
     stamp = F.unix_seconds(F.try_to_timestamp(F.concat(text, F.lit("+00:00")), F.lit("yyyyMMddHHmmssXXX")))
-    own = F.when(F.length(text) == 14, stamp).when(time != 1, time)
-    return F.coalesce(own, F.unix_seconds(sent_at.cast("timestamp")))
+    return F.when(F.length(text) == 14, stamp).when(time != 1, time)
 
 
 def with_epoch(rows: DataFrame, batches: DataFrame, into: str = "at") -> DataFrame:
-    """``rows`` with the epoch seconds of each, by batch_id and time; deletions have a null time, so that of their batch."""
-    sent = broadcast_if_small(batches.groupBy("batch_id").agg(F.max("sent_at").alias("_sent")))
-    joined = rows.join(sent, "batch_id", "left")
-    return joined.withColumn(into, epoch(F.col("time"), F.col("_sent"))).drop("_sent")
+    """``rows`` with the epoch seconds of each, by batch_id and time; deletions have a null time, so that of their batch.
+
+    Times of batches are broadcast if they are small. Beyond that only the rows without a time of their own move, by batch,
+    those of batches with very many rows excepted.
+    """
+    sent = batches.groupBy("batch_id").agg(F.max("sent_at").alias("_sent"))
+    if is_small(sent):
+        joined = rows.join(F.broadcast(sent), "batch_id", "left")
+        return joined.withColumn(into, epoch(F.col("time"), F.col("_sent"))).drop("_sent")
+    timed = rows.withColumn(into, own_epoch(F.col("time")))
+    unset = timed.where(F.col(into).isNull())
+    sent = sent.select("batch_id", F.unix_seconds(F.col("_sent").cast("timestamp")).alias("_sent"))
+    found = lookup(unset, "batch_id", sent, "batch_id", "_sent", "_of_batch", heavy(unset, F.col("batch_id"), sent, "batch_id", "_sent"))
+    return timed.where(F.col(into).isNotNull()).unionByName(found.withColumn(into, F.col("_of_batch")).drop("_of_batch"))

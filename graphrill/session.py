@@ -76,17 +76,10 @@ def cut_and_count(df: DataFrame, condition: Column | str | None = None) -> tuple
     return held, measures["n"]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are written; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as compressed columns and read from there."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -118,6 +111,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def top_k(key: Column, k: int, held: int) -> Column:
+    """An aggregate: [(item, count)] of about the ``k`` most frequent values of ``key``, from sketches of ``held`` values that
+    merge; every value of more than a few in ``held`` of the rows is there."""
+    return F.call_function("approx_top_k", key, F.lit(k), F.lit(held))
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once per row, though ``body`` uses it within lambdas."""
     return F.transform(F.array(value), body)[0]

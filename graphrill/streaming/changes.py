@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from graphrill.operators.cowstore import EdgeStore
-from graphrill.operators.feed import ROW, edge_changes
+from graphrill.operators.feed import ROW, frequent, resolved_changes
 from graphrill.session import stored
 
 
@@ -16,8 +16,9 @@ def apply_to(store: EdgeStore, batches: DataFrame, names: DataFrame):
     """
 
     def run(updates: DataFrame, batch_id: int) -> None:
-        changes = stored(edge_changes(updates, batches, names, identity=True), "changes")
-        store.apply(changes, f"micro-batch {batch_id}", ROW)
+        *heavy, hot = frequent(updates, names, store.manifest()["buckets"])
+        changes = stored(resolved_changes(updates, batches, names, tuple(heavy)), "changes")
+        store.apply(changes, ("feed", batch_id), ROW, hot=hot)
         store.drop_old()
 
     return run

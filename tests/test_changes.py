@@ -1,12 +1,13 @@
 import json
 import random
 
+import pytest
 from hand import column, edges, graph, rows
 from pyspark.sql import functions as F
 
 from graphrill.functions import scalar
 from graphrill.model import KEY, Graph
-from graphrill.operators import mutate, stats, traverse
+from graphrill.operators import cowstore, mutate, stats, traverse
 from graphrill.operators.cowstore import EdgeStore
 from graphrill.session import fresh_path
 from graphrill.sources import files, generate, sinks, templates
@@ -249,3 +250,80 @@ def test_scalars(spark):
     assert get(scalar.coordinates(F.lit('{"geo": null}'))) is None and get(scalar.coordinates(F.lit(None).cast("string"))) is None
     assert get(scalar.located(F.lit('{"location": {"lat": 1, "lng": 2}, "sent": 0.5, "categories": ["a", "b"]}'))).categories == "a,b"
     assert get(scalar.starts_with(F.array(F.lit(1), F.lit(2)), F.array(F.lit(1)))) is True
+
+
+def test_store_of_hot_keys(spark, monkeypatch):
+    """A key becomes hot in the second set, when its deletion lies in its one bucket already, and is folded and gathered later."""
+    monkeypatch.setattr(cowstore, "HOT_ROWS", 20)
+    r = random.Random(4)
+    hot = [("delete" if r.random() < 0.02 else "insert", 0, 1, 2, 1, r.randrange(100), 1, n) for n in range(200)]
+    cold = [(r.choice(["insert", "delete"]), 0, i := r.randrange(2, 9), i + 1, 2, r.randrange(100), 2, n) for n in range(60)]
+    first, second = [("delete", 0, 1, 2, None, 40, 0, 0)], hot + cold + hot[:30]
+    store = EdgeStore(spark, fresh_path(spark, "s"), 3)
+    store.load(spark.createDataFrame([(0, 1, 2, 5, 1, 60)], "etype bigint, src bigint, dst bigint, weight bigint, time_first bigint, time_recent bigint"))
+    make = lambda x: spark.createDataFrame(x, CHANGES + ", batch_id bigint, seq bigint")
+    store.apply(make(first), ("s", 0), ["batch_id", "seq"])
+    assert len(store.apply(make(second), ("s", 1), ["batch_id", "seq"])) == 3 and store.manifest()["hot"] == [[0, 1, 2]]
+    assert len({x["slot"] for x in store.rows().where("src = 1 AND weight IS NOT NULL").collect()}) > 1
+    assert store.apply(make(second), ("s", 1), ["batch_id", "seq"]) == []
+    want = brute_state({(0, 1, 2): (5, 1, 60)}, [c[:6] for c in first + hot + cold])
+    state = lambda: {(x["etype"], x["src"], x["dst"]): (x["weight"], x["time_first"], x["time_recent"]) for x in store.edges().collect()}
+    assert state() == want
+    n = store.rows().count()
+    store.fold(99)
+    assert state() == want and store.rows().count() < n
+    with pytest.raises(ValueError, match="folded"):
+        store.apply(make([("insert", 0, 1, 2, 1, 50, 9, 9)]), ("s", 2), ["batch_id", "seq"])
+    store.resize(5)
+    assert state() == want and store.manifest()["buckets"] == 5
+    store.drop_old()
+    assert state() == want
+
+
+def test_two_writers_of_a_store(spark):
+    store, other = (EdgeStore(spark, p, 2) for p in [fresh_path(spark, "s")] * 2)
+    store.load(spark.createDataFrame([(0, 0, 1, 5, 1, 30)], "etype bigint, src bigint, dst bigint, weight bigint, time_first bigint, time_recent bigint"))
+    m = other.manifest()
+    store.apply(spark.createDataFrame([("insert", 0, 3, 4, 1, 1)], CHANGES), "a", hot=[])
+    with pytest.raises(RuntimeError, match="another writer"):
+        other._commit(m | {"version": 2})
+    store._fs.create(store._jpath(f"{store.path}/manifests/3.claim"), False).close()
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.apply(spark.createDataFrame([("insert", 0, 5, 6, 1, 1)], CHANGES), "b", hot=[])
+    store.recover()
+    store.apply(spark.createDataFrame([("insert", 0, 5, 6, 1, 1)], CHANGES), "b", hot=[])
+    assert store.edges().count() == 3
+
+
+def test_buffers_share_no_identity(spark):
+    """The store leaves out what came before, but not what another buffer numbers alike."""
+    store = EdgeStore(spark, fresh_path(spark, "s"), 2)
+    store.load(spark.createDataFrame([], "etype bigint, src bigint, dst bigint, weight bigint, time_first bigint, time_recent bigint"))
+    for i, (a, b) in enumerate([(1, 2), (3, 4)]):
+        buffer = generate.StreamBuffer(spark, strings=False)
+        buffer.add_insert(a, b, time=5)
+        buffer.send_batch()
+        rows_ = spark.read.parquet(buffer.folder).select("op", "etype", "src", "dst", "weight", F.col("time").alias("at"), "batch_id", "seq")
+        store.apply(rows_, f"buffer {i}", ["batch_id", "seq"])
+    assert {(r["src"], r["dst"]) for r in store.edges().collect()} == {(1, 2), (3, 4)}
+    feeds = [templates.feed_rows(templates.csv_updates(spark.createDataFrame([("1,2",)], "value string"), "$source1,$destination1")).head() for _ in range(2)]
+    assert feeds[0]["batch_id"] != feeds[1]["batch_id"]
+
+
+def test_buffer_by_the_clock_and_vertices(spark):
+    clock = [0.0]
+    b = generate.StreamBuffer(spark, every=10, clock=lambda: clock[0], batch_id=7)
+    b.insert_json({"vertices": [{"vertex": "a", "type": "person", "set_weight": 3}, {"type": "x"}], "edges": [{"src": "a", "dest": "b"}]})
+    assert b.tick() == 0
+    clock[0] = 11.0
+    assert b.tick() == 2 and b.tick() == 0
+    got = spark.read.parquet(b.folder).orderBy("seq").collect()
+    assert [(r["batch_id"], r["op"], r["src_str"], r["vtype_str"]) for r in got] == [(7, "vertex", "a", "person"), (7, "insert", "a", None)]
+
+
+def test_long_adjacency_line(spark, tmp_path):
+    """Names are numbered in the order of lines and entries, however many a line has."""
+    (tmp_path / "m.txt").write_text("4 4\n" + " ".join(["3", "2"] * 40) + "\n4\n\n\n")
+    g = files.metis_graph(spark, str(tmp_path / "m.txt"))
+    names = {r["name"]: r["id"] for r in g.names.where("kind = 'vertex'").collect()}
+    assert names == {"0": 0, "2": 1, "1": 2, "3": 3}
