@@ -53,6 +53,7 @@ class Encoder:
             model = json.load(f)["model"]
         letters = _byte_letters()
         ids = model["vocab"]
+        self.size = max(ids.values()) + 1
         raw = {t: bytes(letters[c] for c in t).decode("latin-1") for t in ids if all(c in letters for c in t)}
         self.merged: dict[tuple[int, int], int] = {}
         self.order: dict[int, int] = {}
@@ -105,14 +106,14 @@ class Encoder:
             first[at] = 1
             at += len(c) + 1
             ends.append(at - 2)
-        fits = self.fits
+        fits, size_of_all = self.fits, self.size
         for end, (token, length) in self.automaton.iter(text):
             if last[end] < 0:
                 begin = end - length
                 if first[begin + 1]:
                     last[end], size[end] = token, length
                 elif (before := last[begin]) >= 0:
-                    pair = before << 20 | token
+                    pair = before * size_of_all + token
                     fit = fits.get(pair)
                     if fit is None:
                         if len(fits) > 2_000_000:

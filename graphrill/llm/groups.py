@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphrill.operators.lookups import heavy, lookup
-from graphrill.session import cut
+from graphrill.session import FEW_ROWS, broadcast_if_few, cut, partitions
 
 #: A cell of the grid holds about this many links; a cell with more, as a hub's row, is split.
 CELL = 200_000
@@ -38,15 +38,16 @@ def _cell(table: pa.Table) -> pa.Table:
     return pa.table({"v": ids[moved], "rep": least[moved]})
 
 
-def _cells(links: DataFrame, count: int) -> DataFrame:
-    """``links`` with the grid cell of each: its ends' blocks, and a part where the cell has more than CELL links."""
-    blocks = math.ceil(math.sqrt(count / CELL))
+def _cells(links: DataFrame, count: int, least: int = 1) -> DataFrame:
+    """``links`` with the grid cell of each: its ends' blocks, and a part where the cell has more than CELL links. There are at
+    least ``least`` cells."""
+    blocks = math.ceil(math.sqrt(max(count / CELL, least)))
     at = links.select("a", "b", *[F.pmod(F.xxhash64(c), F.lit(blocks)).alias(f"block_{c}") for c in ("a", "b")])
     if blocks == 1:
         return at.withColumn("part", F.lit(0).cast("bigint"))
     sizes = at.groupBy("block_a", "block_b").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("parts"))
     full = sizes.where(F.col("parts") > 1)  # fewer than count / CELL rows
-    at = at.join(F.broadcast(full), ["block_a", "block_b"], "left")
+    at = at.join(broadcast_if_few(full) if count / CELL > FEW_ROWS else F.broadcast(full), ["block_a", "block_b"], "left")
     return at.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("a", "b"), F.col("parts"))).otherwise(F.lit(0).cast("bigint")))
 
 
@@ -59,14 +60,16 @@ def group(pairs: DataFrame, a: str, b: str) -> DataFrame:
     A round runs a union-find in every grid cell and then gives each vertex the least of its representatives in the cells
     of its row and column. Its other representatives are linked with that one. A vertex that represents no other leaves with
     its parent; the others stay, linked with theirs, until no link is left. Links fall by a third a round at least on random
-    ids, and what fits into one cell ends in one more round. Each round is held in the shared folder.
+    ids, and what fits into one cell ends in one more round. The first round has a cell for each task at least. Each round is
+    held in the shared folder.
     """
     spark = pairs.sparkSession
     x, y = F.col(a).cast("bigint"), F.col(b).cast("bigint")
     links = cut(pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where(x.isNotNull() & y.isNotNull() & (x != y)).distinct())
     left: list[DataFrame] = []
+    least = partitions(spark)
     while count := links.count():
-        cells = _cells(links, count).groupBy("block_a", "block_b", "part")
+        cells = _cells(links, count, least if not left else 1).groupBy("block_a", "block_b", "part")
         stars = cells.applyInArrow(_cell, "v bigint, rep bigint")
         # A vertex has at most one representative in each cell of its row and column.
         parents = cut(stars.groupBy("v").agg(F.collect_set("rep").alias("reps")).withColumn("p", F.array_min("reps")))

@@ -11,7 +11,7 @@ from graphrill.llm.words import hashes, words
 from graphrill.session import let
 
 RUN = 8
-#: Frequent words of the six languages of the corpus; fixed values.
+#: Frequent words of the languages of the corpus that put spaces between words (not Japanese); fixed values.
 STOP_WORDS = [
     "the", "be", "to", "of", "and", "that", "have", "with",
     "der", "die", "und", "das", "ist", "nicht", "von", "mit",
@@ -66,6 +66,8 @@ MEASURES = {
     "repeated_words": lambda t, w: repeated_words(w),
     "repeated_share": lambda t, w: _ratio(repeated_words(w), F.size(w)),
     "symbol_share": lambda t, w: _ratio(_count(t, r"[^\p{L}\p{N}\s]"), F.length(F.coalesce(t, F.lit("")))),
+    "stop_share": lambda t, w: _ratio(F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))), F.size(w)),
+    "unspaced_share": lambda t, w: _ratio(_count(t, r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"), F.length(F.coalesce(t, F.lit("")))),
     "stop_words": lambda t, w: F.size(F.array_intersect(w, F.array(*[F.lit(x) for x in STOP_WORDS]))),
     "lines": lambda t, w: F.size(_lines(t)),
     "repeated_lines": lambda t, w: let(_lines(t), lambda x: _ratio(F.size(x) - F.size(F.array_distinct(x)), F.size(x))),
@@ -84,19 +86,24 @@ class Threshold:
     high: float | None = None
     #: A text exactly at ``high`` is named too.
     closed: bool = False
+    #: The rule is about words between spaces; texts with more than UNSPACED of Chinese or Japanese letters are not judged.
+    spaced: bool = False
 
     def holds(self, value: Column) -> Column:
         below = F.lit(False) if self.low is None else value < F.lit(self.low)
         above = F.lit(False) if self.high is None else (value >= F.lit(self.high) if self.closed else value > F.lit(self.high))
-        return below | above
+        return below | above if not self.spaced else (below | above) & (F.col("unspaced_share") <= UNSPACED)
 
 
+#: Texts with a greater share of letters that need no spaces are not judged by rules on words between spaces.
+UNSPACED = 0.2
+
 #: The table of thresholds.
 THRESHOLDS = [
     Threshold("too_short", "words", low=50),
-    Threshold("word_length", "word_length", low=3, high=10),
+    Threshold("word_length", "word_length", low=3, high=10, spaced=True),
     Threshold("symbols", "symbol_share", high=0.1),
-    Threshold("stop_words", "stop_words", low=2),
+    Threshold("stop_words", "stop_share", low=0.05, spaced=True),
     Threshold("repeated_lines", "repeated_lines", high=0.3),
     Threshold("bullet_lines", "bullet_lines", high=0.9),
     Threshold("ellipsis_lines", "ellipsis_lines", high=0.3),
@@ -114,7 +121,8 @@ def measured(docs: DataFrame, text: str, measures: list[str], doc_id: str = "doc
 
 def flagged(docs: DataFrame, text: str, thresholds: list[Threshold] = THRESHOLDS, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, measures of the table, reasons): the names of the thresholds that hold for each row, in the table's order."""
-    rows = measured(docs, text, list(dict.fromkeys(t.measure for t in thresholds)), doc_id)
+    needed = [t.measure for t in thresholds] + ["unspaced_share"] * any(t.spaced for t in thresholds)
+    rows = measured(docs, text, list(dict.fromkeys(needed)), doc_id)
     names = F.array(*[F.when(t.holds(F.col(t.measure)), F.lit(t.name)) for t in thresholds])
     return rows.withColumn("reasons", F.array_compact(names))
 

@@ -29,9 +29,11 @@ def shared(a, b, span):
     return any(tuple(b[i : i + span]) in grams for i in range(len(b) - span + 1))
 
 
-@pytest.mark.parametrize("seed, block", [(1, 4_000_000), (2, 60)])
-def test_leaks_against_brute_force(spark, monkeypatch, seed, block):
-    monkeypatch.setattr(leaks_module, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("seed, few, bits", [(1, 50_000, 26), (2, 0, 26), (3, 0, 10)])
+def test_leaks_against_brute_force(spark, monkeypatch, seed, few, bits):
+    """With the items' fingerprints broadcast, shuffled with hot ones split, and with a filter that lets nearly all pass."""
+    monkeypatch.setattr(leaks_module, "FEW_ROWS", few)
+    monkeypatch.setattr(leaks_module, "MOST_BITS", bits)
     r = random.Random(seed)
     word = lambda: r.choice(["w%d" % r.randrange(300), "the", "Été"])
     items = [(i, " ".join(word() for _ in range(r.choice([5, 12, 13, 14, 40, 90])))) for i in range(12)]
@@ -114,3 +116,9 @@ def test_measures_are_one_projection(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
     plan = flagged(df, "text")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_without_spaces_are_not_judged_by_words(spark):
+    docs = [(1, "日本語の文章には単語の間に空白がありません。" * 20), (2, "xxxxxxxxxxxxxxxx " * 60), (3, "the cat and the dog went to the house of the king " * 6)]
+    reasons = {x["doc_id"]: x["reasons"] for x in flagged(spark.createDataFrame(docs, "doc_id bigint, text string"), "text").collect()}
+    assert not {"word_length", "stop_words"} & set(reasons[1]) and {"word_length", "stop_words"} <= set(reasons[2]) and not {"word_length", "stop_words"} & set(reasons[3])
