@@ -48,6 +48,11 @@ def valid_name(name: str) -> bool:
     return re.fullmatch(r"[A-Za-z0-9_]+", name) is not None
 
 
+def is_valid_name(name: Column) -> Column:
+    """valid_name, of a column."""
+    return name.rlike(r"\A[A-Za-z0-9_]+\z")
+
+
 def safe_divide(a: Column, b: Column, default: float = 0.0) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(default))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphrill.model import Graph
 from graphrill.operators.columns import positions
+from graphrill.operators.structure import components
 from graphrill.session import cut, cut_and_count
 
 
@@ -78,13 +79,26 @@ def _matching(s: DataFrame) -> DataFrame:
     return matched
 
 
-def agglomerate(g: Graph, how: str = "cnm", most: int = 100, coverage: float | None = None, largest: int | None = None, singles: DataFrame | None = None, start: DataFrame | None = None, both: bool = False) -> DataFrame:
+def _trees(s: DataFrame) -> DataFrame:
+    """(i, j): the best link of every community by score, then the lower (i, j), as far as it is above 0; they form trees, and
+    each j is the member of a tree with the least i."""
+    rank = F.struct("score", (-F.col("i")).alias("a"), (-F.col("j")).alias("b"))
+    s = s.where("score > 0")
+    best = s.select(F.col("i").alias("v"), rank.alias("r")).union(s.select("j", rank)).groupBy("v").agg(F.max("r").alias("r"))
+    links = best.select((-F.col("r.a")).alias("src"), (-F.col("r.b")).alias("dst")).distinct()
+    return components(Graph.of(links)).where("id <> label").select(F.col("label").alias("i"), F.col("id").alias("j"))
+
+
+def agglomerate(g: Graph, how: str = "cnm", most: int | None = None, coverage: float | None = None, largest: int | None = None, singles: DataFrame | None = None, start: DataFrame | None = None, both: bool = False, trees: bool = False, drop: float | None = None, most_links: int | None = None) -> DataFrame:
     """(id, label): communities by repeated matching and contraction of the community graph; the label is the least id.
 
     Links are the edges from a lower to a higher id (with ``both`` those of either direction), by weight. A round scores the
     links between communities ('cnm', 'conductance', 'heaviest' or 'mb'), matches greedily those above 0 and merges each
-    pair. It ends when nothing merges, after ``most`` rounds, or when ``coverage`` of the weight is inside. ``largest``
-    forbids greater communities. ``start`` (id, label) gives communities to go on from, in which the vertices ``singles`` (id)
+    pair; with ``trees`` every community joins along its best link, so that a hub takes in all its leaves in one round.
+
+    It ends when nothing merges, or when ``coverage`` of the weight is inside, or when the best score is below that of the
+    round before over ``drop``; ``most`` rounds are no limit unless one is given. ``largest`` forbids greater communities, and
+    communities with more than ``most_links`` links take no part. ``start`` (id, label) gives communities to go on from, in which the vertices ``singles`` (id)
     begin anew; the result is then that of an update.
     """
     ids = g.ids()
@@ -102,7 +116,9 @@ def agglomerate(g: Graph, how: str = "cnm", most: int = 100, coverage: float | N
     flows = e.join(by("src"), "src").join(by("dst"), "dst").groupBy(F.least("lsrc", "ldst").alias("i"), F.greatest("lsrc", "ldst").alias("j")).agg(F.sum("weight").alias("w"))
     flows = cut(flows)
     links, d = flows.where("i <> j"), flows.where("i = j").select("i", F.col("w").alias("inside"))
-    for _ in range(most):
+    before = None
+    while most is None or most > 0:
+        most = None if most is None else most - 1
         if coverage is not None:
             inside, between = d.agg(F.coalesce(F.sum("inside"), F.lit(0))).head()[0], links.agg(F.coalesce(F.sum("w"), F.lit(0))).head()[0]
             if inside + between and inside / (inside + between) >= coverage:
@@ -111,7 +127,15 @@ def agglomerate(g: Graph, how: str = "cnm", most: int = 100, coverage: float | N
         if largest is not None:
             sizes = labels.groupBy(F.col("label").alias("i")).agg(F.count(F.lit(1)).alias("n"))
             s = s.join(sizes, "i").join(sizes.select(F.col("i").alias("j"), F.col("n").alias("n_j")), "j").where(F.col("n") + F.col("n_j") <= largest).select("i", "j", "w", "score")
-        merged, n = cut_and_count(_matching(s))
+        if most_links is not None:
+            degree = links.select("i").union(links.select("j")).groupBy("i").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_links).select("i")
+            s = s.join(degree, "i", "left_anti").join(degree.withColumnRenamed("i", "j"), "j", "left_anti").select("i", "j", "w", "score")
+        if drop is not None:
+            best = s.agg(F.max("score")).head()[0]
+            if best is None or (before is not None and best < before / drop):
+                break
+            before = best
+        merged, n = cut_and_count(_trees(s) if trees else _matching(s))
         if not n:
             break
         # j joins i, which is lower.

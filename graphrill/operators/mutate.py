@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphrill.model import EDGE, KEY, Graph
 from graphrill.operators.columns import positions
+from graphrill.operators.lookups import heavy, lookup
 from graphrill.operators.naming import once
 from graphrill.session import broadcast_if_small, cut, is_small, partitions, stored
 
@@ -135,20 +136,30 @@ def new_names(g: Graph, rows: DataFrame) -> Graph:
     rows = rows.where(F.length("name") > 0).groupBy("kind", "name").agg(F.min("ord").alias("ord"))
     missing = rows.join(g.names.select("kind", "name"), ["kind", "name"], "left_anti")
     top = F.broadcast(g.names.groupBy("kind").agg(F.max("id").alias("top")))  # one row a kind
-    numbered = stored(positions(missing, [F.col("kind"), F.col("ord"), F.col("name")]), "names")
+    numbered = positions(missing, [F.col("kind"), F.col("ord"), F.col("name")])
     first = F.broadcast(numbered.groupBy("kind").agg(F.min("pos").alias("first")))  # one row a kind
     numbered = numbered.join(first, "kind").join(top, "kind", "left")
     new = numbered.select("kind", (F.coalesce("top", F.lit(-1)) + 1 + F.col("pos") - F.col("first")).cast("bigint").alias("id"), "name")
-    return g.with_(names=g.names.select("kind", "id", "name").union(new))
+    # Read from a file the names have a known size.
+    return g.with_(names=g.names.select("kind", "id", "name").union(stored(new, "names")))
 
 
 def resolve(names: DataFrame, rows: DataFrame, kind: str, string: str, number: str, default: int) -> DataFrame:
     """``rows`` with ``number`` replaced by the id of ``string`` where that is set, else the number, else the default; null if
-    the string is no name."""
+    the string is no name.
+
+    Names of a small size are broadcast. Else rows without a string stay where they are, and the others meet the names with
+    the frequent ones broadcast.
+    """
     known = names.where(F.col("kind") == kind).select(F.col("name").alias("_name"), F.col("id").alias("_id"))
-    joined = rows.join(known if kind == "vertex" else broadcast_if_small(known), F.col(string) == F.col("_name"), "left")
-    value = F.when(F.length(string) > 0, F.col("_id")).otherwise(F.coalesce(number, F.lit(default)))
-    return joined.withColumn(number, value).drop("_name", "_id")
+    spelled = F.coalesce(F.length(string) > 0, F.lit(False))
+    value = F.when(spelled, F.col("_id")).otherwise(F.coalesce(number, F.lit(default)))
+    if is_small(known):
+        return rows.join(F.broadcast(known), F.col(string) == F.col("_name"), "left").withColumn(number, value).drop("_name", "_id")
+    named = rows.where(spelled)
+    named = lookup(named, string, known, "_name", "_id", "_resolved", heavy(named, F.col(string), known, "_name", "_id"))
+    unset = rows.where(~spelled).withColumn(number, F.coalesce(number, F.lit(default)))
+    return unset.unionByName(named.withColumn(number, F.col("_resolved")).drop("_resolved"))
 
 
 def update_vertices(g: Graph, rows: DataFrame) -> Graph:

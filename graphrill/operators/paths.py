@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphrill.model import Graph
-from graphrill.session import broadcast_if_small, cut, cut_and_count
+from graphrill.operators.columns import positions
+from graphrill.session import broadcast_counted, broadcast_if_small, cut, cut_and_count, cut_and_measure
 
 #: A search that has not ended after so many rounds is an error, not a cut.
 MOST_ROUNDS = 100_000
@@ -22,27 +23,68 @@ def _arcs(g: Graph, etype: int | None, unweighted: bool, both: bool = False) ->
     return arcs.groupBy("src", "dst").agg(F.min("w").alias("w"))
 
 
-def distances(g: Graph, sources: DataFrame, etype: int | None = None, unweighted: bool = False, both: bool = False) -> DataFrame:
+#: Levels of a search that are read side by side before they become one table.
+LEVELS = 16
+
+
+def distances(g: Graph, sources: DataFrame, etype: int | None = None, unweighted: bool = False, both: bool = False, target: int | None = None) -> DataFrame:
     """(source, id, dist) of every vertex that a source (id) reaches over out edges, itself with 0; others have no row.
 
-    Weights must not be negative. Each round joins only the vertices whose distance fell in the last one.
+    Weights must not be negative. Each round joins only the vertices whose distance fell in the last one. Hops only add
+    vertices to those found, so found ones are not written again. With ``target`` the search ends when that vertex's distance
+    cannot fall any more; other distances are then not all there or not all final.
     """
     arcs = cut(_arcs(g, etype, unweighted, both))
-    if not unweighted and arcs.where("w < 0").limit(1).count():
+    start = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("bigint").alias("dist")).distinct())
+    if unweighted:
+        return _levels(arcs, start, target)
+    if arcs.where("w < 0").limit(1).count():
         raise ValueError("a weight is negative")
-    found = frontier = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("bigint").alias("dist")).distinct())
+    found = frontier = start
+    seen = {"n": start.count()}
     for _ in range(MOST_ROUNDS):
-        reached = broadcast_if_small(frontier).join(arcs, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
+        reached = broadcast_counted(frontier, seen["n"]).join(arcs, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
         best = reached.groupBy("source", "id").agg(F.min("dist").alias("new"))
         fell = F.col("dist").isNull() | F.coalesce(F.col("new") < F.col("dist"), F.lit(False))
-        merged, n = cut_and_count(found.join(best, ["source", "id"], "full").select("source", "id", F.least("dist", "new").alias("dist"), fell.alias("fell")), "fell")
+        merged, seen = cut_and_measure(
+            found.join(best, ["source", "id"], "full").select("source", "id", F.least("dist", "new").alias("dist"), fell.alias("fell")),
+            n=F.count_if(F.col("fell")), nearest=F.min(F.when(F.col("fell"), F.col("dist"))), reached=F.max(F.when(F.col("id") == F.lit(target), F.col("dist"))),
+        )
         frontier = merged.where("fell").drop("fell")
         found = merged.drop("fell")
-        if not n:
+        if not seen["n"] or (seen["reached"] is not None and seen["reached"] <= seen["nearest"]):
             return found
     raise RuntimeError("the search did not end")
 
 
+def _levels(arcs: DataFrame, start: DataFrame, target: int | None) -> DataFrame:
+    """distances by hops: a level a round, next to those before."""
+    levels, frontier = [start], start
+    measures = {"n": start.count()}
+    for _ in range(MOST_ROUNDS):
+        seen = levels[0].select("source", "id")
+        for level in levels[1:]:
+            seen = seen.union(level.select("source", "id"))
+        step = broadcast_counted(frontier, measures["n"]).join(arcs, F.col("id") == F.col("src")).select("source", F.col("dst").alias("id"), (F.col("dist") + 1).alias("dist")).distinct()
+        frontier, measures = cut_and_measure(step.join(seen, ["source", "id"], "left_anti"), n=F.count(F.lit(1)), hits=F.count_if(F.col("id") == F.lit(target)))
+        if measures["n"]:
+            levels.append(frontier)
+        if not measures["n"] or measures["hits"]:
+            break
+        if len(levels) > LEVELS:
+            levels = [cut(_union(levels))]
+    else:
+        raise RuntimeError("the search did not end")
+    return _union(levels)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def shortest_paths(g: Graph, source: int, etype: int | None = None, unweighted: bool = False) -> DataFrame:
     """(id, dist) of all vertices; null if the source does not reach one."""
     start = g.spark.createDataFrame([(source,)], "id bigint")
@@ -52,7 +94,7 @@ def shortest_paths(g: Graph, source: int, etype: int | None = None, unweighted:
 def point_to_point(g: Graph, source: int, target: int, unweighted: bool = False) -> DataFrame:
     """One row (source, target, dist); dist is null if there is no path."""
     start = g.spark.createDataFrame([(source,)], "id bigint")
-    hit = distances(g, start, unweighted=unweighted).where(F.col("id") == target).agg(F.min("dist").alias("dist"))
+    hit = distances(g, start, unweighted=unweighted, target=target).where(F.col("id") == target).agg(F.min("dist").alias("dist"))
     return hit.select(F.lit(source).cast("bigint").alias("source"), F.lit(target).cast("bigint").alias("target"), "dist")
 
 
@@ -61,9 +103,30 @@ def all_pairs(g: Graph, unweighted: bool = False) -> DataFrame:
     return distances(g, g.ids(), unweighted=unweighted)
 
 
-def mean_path(g: Graph, unweighted: bool = False) -> DataFrame:
-    """One row ``mean``: over the pairs of different vertices with a path."""
-    return all_pairs(g, unweighted).where("source <> id").agg(F.avg("dist").alias("mean"))
+#: Sources that search together where only numbers about all pairs are wanted.
+SOURCES = 1024
+
+
+def _over_pairs(g: Graph, unweighted: bool, block: int) -> tuple[int, int, int | None]:
+    """Pairs of different vertices with a path, the sum of their distances and the greatest distance of all pairs.
+
+    The sources search in blocks, so the rows held are those of a block, not of all pairs.
+    """
+    ranked = cut(positions(g.ids(), [F.col("id")]).select("id", F.floor(F.col("pos") / block).alias("block")))
+    pairs, total, greatest = 0, 0, None
+    for b in range(ranked.agg(F.coalesce(F.max("block"), F.lit(-1)) + 1).head()[0]):
+        d = distances(g, ranked.where(F.col("block") == b).select("id"), unweighted=unweighted)
+        other = F.col("source") != F.col("id")
+        row = d.agg(F.count_if(other).alias("n"), F.coalesce(F.sum(F.when(other, F.col("dist"))), F.lit(0)).alias("s"), F.max("dist").alias("m")).head()
+        pairs, total = pairs + row["n"], total + row["s"]
+        greatest = row["m"] if greatest is None or (row["m"] or 0) > greatest else greatest
+    return pairs, total, greatest
+
+
+def mean_path(g: Graph, unweighted: bool = False, block: int = SOURCES) -> DataFrame:
+    """One row ``mean``: over the pairs of different vertices with a path; null if there is none."""
+    pairs, total, _ = _over_pairs(g, unweighted, block)
+    return g.spark.createDataFrame([(total / pairs if pairs else None,)], "mean double")
 
 
 def pseudo_diameter(g: Graph, source: int, unweighted: bool = False) -> DataFrame:
@@ -79,9 +142,9 @@ def pseudo_diameter(g: Graph, source: int, unweighted: bool = False) -> DataFram
         best, ends, at = dist, (at, target), target
 
 
-def exact_diameter(g: Graph, unweighted: bool = False) -> DataFrame:
-    """One row ``diameter``: the greatest distance of all pairs with a path."""
-    return all_pairs(g, unweighted).agg(F.max("dist").alias("diameter"))
+def exact_diameter(g: Graph, unweighted: bool = False, block: int = SOURCES) -> DataFrame:
+    """One row ``diameter``: the greatest distance of all pairs with a path; null without vertices."""
+    return g.spark.createDataFrame([(_over_pairs(g, unweighted, block)[2],)], "diameter bigint")
 
 
 def bfs_edges(g: Graph, source: int, etype: int | None = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphrill.model import Graph
 from graphrill.operators.lookups import heavy, lookup
 from graphrill.operators.paths import MOST_ROUNDS
-from graphrill.session import broadcast_if_small, cut, cut_and_count
+from graphrill.session import broadcast_counted, broadcast_if_small, cut, cut_and_count
 
 
 def components(g: Graph, etype: int | None = None) -> DataFrame:
@@ -85,14 +85,20 @@ def kcore_exact(g: Graph) -> DataFrame:
     """(id, core): exact core numbers of the simple undirected graph.
 
     A vertex's estimate starts as its degree and falls to the greatest h such that h neighbours have at least h; it settles
-    at the core number. Each round takes one shuffle of the links and one of (vertex, value) counts, so a hub's neighbours
-    are counted by value before they meet.
+    at the core number. After the first round only vertices are computed again of which a neighbour fell below their own
+    estimate. A hub's neighbours are counted by value before they meet.
     """
     n = cut(g.both_ways())
     state = cut(g.ids().join(n.groupBy("id").agg(F.count(F.lit(1)).alias("core")), "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core")))
+    fell = None
     while True:
         value = state.select(F.col("id").alias("nbr"), F.col("core").alias("h"))
-        near = n.join(value, "nbr").join(state, "id")
+        open_ = state
+        if fell is not None:
+            # A neighbour that fell from at least one's own estimate to below it no longer counts.
+            lower = n.join(broadcast_counted(fell, n_fell), "nbr").groupBy("id").agg(F.min("now").alias("now"))
+            open_ = state.join(lower, "id").where("now < core").select("id", "core")
+        near = n.join(open_, "id").join(value, "nbr")
         counts = near.select("id", F.least("h", "core").alias("h")).groupBy("id", "h").agg(F.count(F.lit(1)).alias("c"))
         # One list per vertex of (value, count); at most as many as its estimate has values.
         lists = counts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("h", "c")), False).alias("l"))
@@ -103,6 +109,7 @@ def kcore_exact(g: Graph) -> DataFrame:
         if not n_fell:
             return joined.drop("fell")
         state = joined.drop("fell")
+        fell = joined.where("fell").select(F.col("id").alias("nbr"), F.col("core").alias("now"))
 
 
 def triangle_list(g: Graph) -> DataFrame:

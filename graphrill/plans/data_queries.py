@@ -95,7 +95,7 @@ v AS (SELECT record_id, line,
   regexp_matches(line, '{_DIGITS}') AS two FROM t),
 w AS (SELECT record_id, line, try_cast(CASE WHEN a = '' THEN '0' ELSE a END AS BIGINT) AS c0, try_cast(CASE WHEN b = '' THEN '0' ELSE b END AS BIGINT) AS c1, two FROM v) """
 _EDGES = f"""WITH {_ONCE}, r AS (
-  SELECT u.op, {_ID.format("etype", "e")} AS etype, {_ID.format("src", "s")} AS src, {_ID.format("dst", "d")} AS dst, coalesce(u.weight, 1) AS weight,
+  SELECT u.batch_id, u.seq, u.op, {_ID.format("etype", "e")} AS etype, {_ID.format("src", "s")} AS src, {_ID.format("dst", "d")} AS dst, coalesce(u.weight, 1) AS weight,
     CASE WHEN u.op = 'insert' AND u.time <> 1 AND length(u.time::VARCHAR) = 14 THEN epoch(strptime(u.time::VARCHAR, '%Y%m%d%H%M%S'))::BIGINT
       WHEN u.op = 'insert' AND u.time <> 1 THEN u.time ELSE floor(epoch(b.sent_at))::BIGINT END AS ts
   FROM u LEFT JOIN batches b ON b.batch_id = u.batch_id

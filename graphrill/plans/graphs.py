@@ -35,14 +35,6 @@ def flow(spark: SparkSession, d: str) -> Graph:
     return Graph.of(rows.groupBy("etype", "src", "dst").agg(F.count(F.lit(1)).alias("weight"), F.min("t").alias("time_first"), F.max("t").alias("time_recent")))
 
 
-def sparse(spark: SparkSession, d: str) -> Graph:
-    """Customers and the parts (from 1,000,000 on) of their returned lines of quantity 50."""
-    lines = table(spark, d, "lineitem").where("l_quantity = 50 AND l_returnflag = 'A'").select("l_orderkey", "l_partkey")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
-    return Graph.of(rows)
-
-
 def trade(spark: SparkSession, d: str) -> DataFrame:
     """(src, dst, etype, weight, t): customers, suppliers (from 1,000,000 on), the return flag, quantities and days."""
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
@@ -60,7 +52,6 @@ FLOW = (
     + " END::BIGINT AS etype, user_id AS src, lead(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS dst, floor(epoch(ts))::BIGINT AS t FROM events) "
     "WHERE dst IS NOT NULL AND src <> dst GROUP BY etype, src, dst)"
 )
-SPARSE = "sparse AS MATERIALIZED (SELECT DISTINCT o_custkey AS src, l_partkey + 1000000 AS dst, 0::BIGINT AS etype, 1::BIGINT AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_returnflag = 'A')"
 
 
 def unrolled(first: str, step: str, rounds: int, name: str = "s") -> str:

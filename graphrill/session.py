@@ -85,7 +85,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; file sizes are of compressed data."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:
+        # Estimates multiply over joins; one of thousands of digits cannot even be read.
+        return 1 << 62
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
@@ -101,6 +105,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if is_small(df, limit) else df
 
 
+def broadcast_counted(df: DataFrame, n: int, most: int = FEW_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted as ``n`` before, are at most ``most``."""
+    return F.broadcast(df) if n <= most else df
+
+
 def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows at most ``most`` rows; for filtered tables, of which estimates know little."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

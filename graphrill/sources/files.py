@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphrill.functions.scalar import flow_time, host, port
 from graphrill.model import Graph
 from graphrill.operators import mutate
 from graphrill.operators.columns import positions
+from graphrill.session import cut, partitions
 
 TEXT = "_line string"
 
@@ -129,6 +130,26 @@ def csr_graph(spark: SparkSession, offsets: list[int], targets: list[int], weigh
     return Graph.of(spark.createDataFrame(rows, "etype bigint, src bigint, dst bigint, weight bigint"))
 
 
+def csr_frames(offsets: DataFrame, targets: DataFrame, etype: int = 0) -> Graph:
+    """csr_graph from tables of any size: (pos, offset), one row more than sources, and (pos, target[, weight]).
+
+    Each target belongs to the last source whose offset is not beyond it; sources of equal offsets have none, but the last. The
+    two are merged in the order of positions over sorted parts, so no task gets all.
+    """
+    spark = offsets.sparkSession
+    weight = F.col("weight") if "weight" in targets.columns else F.lit(1)
+    none = F.lit(None).cast("bigint")
+    rows = offsets.select(F.col("offset").alias("at"), F.col("pos").cast("bigint").alias("src"), none.alias("dst"), none.alias("weight"))
+    rows = rows.union(targets.select("pos", none, F.col("target").cast("bigint"), weight.cast("bigint")))
+    # A source comes before the targets at its offset.
+    order = [F.col("at"), F.col("src").asc_nulls_last()]
+    held = cut(rows.repartitionByRange(partitions(spark), *order).withColumn("part", F.spark_partition_id()))
+    last = held.groupBy("part").agg(F.max("src").alias("m")).select("part", F.max("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # one row a part
+    own = F.max("src").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    e = held.withColumn("own", own).join(F.broadcast(last), "part").where("dst IS NOT NULL")
+    return Graph.of(e.select(F.lit(etype).alias("etype"), F.coalesce("own", "before").alias("src"), "dst", "weight"))
+
+
 def save(g: Graph, path: str) -> None:
     """Writes edges by type, vertices, names and results under ``path``."""
     g.edges.write.partitionBy("etype").parquet(f"{path}/edges")

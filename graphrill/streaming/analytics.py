@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphrill.model import Graph
 from graphrill.operators import communities, ranking, stats, structure
 from graphrill.operators.extract import induced
-from graphrill.operators.mutate import DEFAULTS
+from graphrill.operators.mutate import DEFAULTS, resolve
 from graphrill.operators.traverse import affected
 from graphrill.session import broadcast_if_small, cut
 
@@ -17,14 +17,15 @@ def ends(g: Graph, batch: DataFrame, op: str | None = None) -> DataFrame:
     """(src, dst) of the batch's edges through the names of ``g``, unset ends as apply_batch takes them; strings that are no
     name are left out."""
     rows = batch.where(F.col("op").isin("insert", "delete") if op is None else F.col("op") == op)
-    names = g.names.where("kind = 'vertex'")
     for end in ("src", "dst"):
-        known = names.select(F.col("name").alias("_n"), F.col("id").alias("_i"))
-        rows = rows.join(known, F.col(f"{end}_str") == F.col("_n"), "left")
-        rows = rows.withColumn(end, F.when(F.length(f"{end}_str") > 0, F.col("_i")).otherwise(F.coalesce(end, F.lit(DEFAULTS[end])))).drop("_n", "_i")
+        rows = resolve(g.names, rows, "vertex", f"{end}_str", end, DEFAULTS[end])
     return rows.select("src", "dst").dropna()
 
 
+#: An update of communities ends when the best score falls by this factor in a round; a fixed value of the rule.
+DROP = 1.1
+
+
 def decay(rows: DataFrame, column: str, by: float) -> DataFrame:
     """``rows`` with a column multiplied by a weight."""
     return rows.withColumn(column, F.col(column) * by)
@@ -186,7 +187,7 @@ class Communities:
     def post(self, g: Graph, batch: DataFrame, own: DataFrame) -> DataFrame:
         e = ends(g, batch)
         touched = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-        return communities.agglomerate(g, start=own, singles=touched)
+        return communities.agglomerate(g, start=own, singles=touched, drop=DROP)
 
 
 class Betweenness:
