@@ -52,11 +52,17 @@ def hot_keys(changes: DataFrame, buckets: int) -> list[tuple[int, int, int]]:
     return [tuple(int(x) for x in text.split(",")) for text in texts]
 
 
+def no_slot() -> Column:
+    """Zero, but not for the optimizer, which would take a constant out of the grouping and then not see that rows with PLACE
+    are where they belong."""
+    return F.pmod(F.xxhash64("src"), F.lit(1)).cast("bigint")
+
+
 def _slots(rows: DataFrame, hot: list[int], buckets: int, by: list[str]) -> DataFrame:
     """``rows`` with their slot; a deletion of a hot key (of the hashes ``hot``) is in all slots, an insertion in one by ``by``."""
-    none = F.lit(0).cast("bigint")
     if not hot:
-        return rows.withColumn("slot", none)
+        return rows.withColumn("slot", no_slot())
+    none = F.lit(0).cast("bigint")
     is_hot = F.xxhash64(*[F.col(c).cast("bigint") for c in KEY]).isin(hot)
     own = F.pmod(F.xxhash64(*by), F.lit(SLOTS * buckets))
     every = F.sequence(none, F.lit(SLOTS * buckets - 1).cast("bigint"))
@@ -166,7 +172,8 @@ class EdgeStore:
         self.spark.sql(f"CREATE TABLE {name} ({STATE}, bucket int) USING parquet PARTITIONED BY (bucket) CLUSTERED BY ({', '.join(PLACE)}) SORTED BY ({', '.join(PLACE)}) INTO {buckets} BUCKETS LOCATION {quoted(self.path + '/none')}")
         if folders:
             self.spark.sql(f"ALTER TABLE {name} ADD " + " ".join(f"PARTITION (bucket = {b}) LOCATION {quoted(p)}" for b, p in folders.items()))
-        return name, self.spark.table(name).select(*COLUMNS)
+        # Columns under ids of their own: a union of two tables keeps their buckets only then.
+        return name, self.spark.table(name).select(*[F.col(c).alias(c) for c in COLUMNS])
 
     def _read(self, folders: list[str]) -> DataFrame:
         return self.spark.read.schema(STATE).parquet(*folders) if folders else self.spark.createDataFrame([], STATE)
@@ -175,7 +182,7 @@ class EdgeStore:
         """Makes ``edges`` (KEY, weight, time_first, time_recent) the first version."""
         m = self.manifest()
         none = F.lit(None).cast("bigint")
-        rows = edges.dropna(subset=KEY).select(*[F.col(c).cast("bigint").alias(c) for c in KEY], F.lit(0).cast("bigint").alias("slot"), F.coalesce("weight", F.lit(1)).cast("bigint").alias("weight"), "time_first", "time_recent", none.alias("deleted_at"))
+        rows = edges.dropna(subset=KEY).select(*[F.col(c).cast("bigint").alias(c) for c in KEY], no_slot().alias("slot"), F.coalesce("weight", F.lit(1)).cast("bigint").alias("weight"), "time_first", "time_recent", none.alias("deleted_at"))
         files = self._write(rows.repartition(self.buckets, *PLACE), self._version(m), self.buckets)
         self._commit(m | {"version": m["version"] + 1, "buckets": self.buckets, "files": files})
 
@@ -274,7 +281,7 @@ class EdgeStore:
     def resize(self, buckets: int) -> None:
         """Writes all rows into another number of buckets, as for a table that has grown; hot keys come together first."""
         m = self.manifest()
-        rows = self.rows().withColumn("slot", F.lit(0).cast("bigint"))
+        rows = self.rows().withColumn("slot", no_slot())
         files = self._write(merge(rows.repartition(buckets, *PLACE)), self._version(m), buckets)
         self._commit(m | {"version": m["version"] + 1, "buckets": buckets, "files": files, "hot": []})
 
