@@ -178,6 +178,47 @@ def test_communities(spark):
     assert max(Counter(column(communities.agglomerate(g, largest=2), "label").values()).values()) <= 2
 
 
+def test_communities_of_a_star(spark):
+    """A hub takes in one leaf a round, or with trees all at once; no number of rounds leaves leaves over."""
+    star = graph(spark, " ".join(f"0-{i}" for i in range(1, 9)))
+    assert set(column(communities.agglomerate(star, "heaviest"), "label").values()) == {0}
+    assert set(column(communities.agglomerate(star, "heaviest", trees=True, most=1), "label").values()) == {0}
+    assert len(set(column(communities.agglomerate(star, "heaviest", most=1), "label").values())) == 8
+    assert len(set(column(communities.agglomerate(star, "heaviest", most_links=3), "label").values())) == 9
+    heavy = graph(spark, "0-1:8 2-3:8 1-2:1")
+    assert len(set(column(communities.agglomerate(heavy, "heaviest", drop=1.1), "label").values())) == 2
+
+
+def test_expansion_against_brute_force(spark):
+    keys = random_edges(3, 14, 40)
+    g = as_graph(spark, keys)
+    w = defaultdict(Counter)
+    for _, a, b in keys:
+        if a != b:
+            w[a][b] += 1
+            w[b][a] += 1
+    vol = {v: sum(w[v].values()) for v in w}
+    total, inside = sum(vol.values()), [keys[0][1]]
+    while True:
+        size = sum(vol[v] for v in inside)
+        near = {u: sum(w[u][v] for v in inside) for v in inside for u in w[v] if u not in inside}
+        if not near:
+            break
+        best = min(near, key=lambda u: (-(near[u] - vol[u] * size / total), -near[u], u))
+        if near[best] - vol[best] * size / total < 0:
+            break
+        inside.append(best)
+    assert [x["id"] for x in extract.modular_expansion(g, [keys[0][1]]).orderBy("step").collect()] == inside
+
+
+def test_all_pairs_in_blocks(spark):
+    keys = random_edges(9, 20, 45)
+    g = as_graph(spark, keys)
+    pairs = [x["dist"] for x in paths.all_pairs(g, unweighted=True).where("source <> id").collect()]
+    assert paths.exact_diameter(g, True, block=6).head()[0] == max(pairs)
+    assert abs(paths.mean_path(g, True, block=6).head()[0] - sum(pairs) / len(pairs)) < 1e-12
+
+
 def test_agglomerate_update(spark):
     g = graph(spark, "0-1 0-2 1-2 3-4 3-5 4-5 2-3")
     start = communities.agglomerate(g)

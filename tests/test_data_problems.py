@@ -207,3 +207,12 @@ def test_broadcast_is_checked(spark):
     assert hinted(broadcast_if_small(small)) and not hinted(broadcast_if_small(small, limit=1))
     assert hinted(broadcast_if_few(small)) and not hinted(broadcast_if_few(small, most=3))
     assert estimated_bytes(small) > 0 and shared_dir(spark)
+
+
+def test_times_of_batches_beyond_a_broadcast(spark, monkeypatch):
+    given = [(1, 7), (1, 1), (2, None), (77, None), (None, None), (1, 20220103000005)] + [(1, None)] * 40
+    df = spark.createDataFrame(given, "batch_id bigint, time bigint")
+    want = rows(naming.with_epoch(df, batches(spark)))
+    monkeypatch.setattr(naming, "is_small", lambda df: False)
+    got = naming.with_epoch(df, batches(spark))
+    assert got.columns == ["batch_id", "time", "at"] and rows(got) == want
