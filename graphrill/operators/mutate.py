@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,12 +175,13 @@ def update_vertices(g: Graph, rows: DataFrame) -> Graph:
     return g.with_(vertices=kept)
 
 
-def apply_batch(g: Graph, updates: DataFrame, directed: bool = True) -> Graph:
+def apply_batch(g: Graph, updates: DataFrame, directed: bool = True, hold: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Graph:
     """``g`` after a batch of updates (the schema of the feed): insertions, which always add weights, then deletions, then
     vertex updates. New names get ids in the order of (batch_id, seq); rows sent again count once. Undirected batches insert
-    and delete both directions. An edge that a batch both inserts and deletes is gone."""
+    and delete both directions. An edge that a batch both inserts and deletes is gone. ``hold`` may write what is read several
+    times, the rows and their edges, and give back what it wrote."""
     cols = [c for c in updates.columns if c != "metadata"]
-    rows = once(updates, ["batch_id", "seq"], cols)
+    rows = hold(once(updates, ["batch_id", "seq"], cols), "rows")
     rows = rows.withColumn("ord", F.struct("batch_id", "seq"))
     edges = rows.where(F.col("op").isin("insert", "delete"))
     given = lambda df, kind, column: df.select(F.lit(kind).alias("kind"), F.col(column).alias("name"), "ord")
@@ -187,7 +190,7 @@ def apply_batch(g: Graph, updates: DataFrame, directed: bool = True) -> Graph:
     g = new_names(g, wanted)
     for kind, side in (("etype", "etype"), ("vertex", "src"), ("vertex", "dst")):
         edges = resolve(g.names, edges, kind, f"{side}_str", side, DEFAULTS[side])
-    edges = edges.dropna(subset=KEY)
+    edges = hold(edges.dropna(subset=KEY).select(*KEY, "op", "weight", "time", "ord"), "rows_of_edges")
     g = insert(g, edges.where("op = 'insert'"), "incr", pairs=not directed)
     g = remove(g, edges.where("op = 'delete'"), pairs=not directed)
     v = resolve(g.names, rows.where("op = 'vertex'"), "vertex", "src_str", "src", DEFAULTS["src"]).dropna(subset=["src"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphrill.model import EDGE, EDGES, NAMES, VERTICES, Graph
 from graphrill.operators.mutate import apply_batch
+from graphrill.session import releasing
 from graphrill.sources.sinks import write_history
 
 
@@ -92,15 +93,17 @@ class StateStore:
     def write(self, g: Graph, version: int) -> Graph:
         """Writes the parts of a version, which no reader sees before commit; a crash leaves them to be written again."""
         root = f"{self.path}/v{version}"
-        g.edges.write.mode("overwrite").partitionBy("etype").parquet(f"{root}/edges")
-        g.vertices.write.mode("overwrite").parquet(f"{root}/vertices")
-        g.names.write.mode("overwrite").parquet(f"{root}/names")
+        with releasing(self.spark):
+            g.edges.write.mode("overwrite").partitionBy("etype").parquet(f"{root}/edges")
+            g.vertices.write.mode("overwrite").parquet(f"{root}/vertices")
+            g.names.write.mode("overwrite").parquet(f"{root}/names")
         new = self._read(root)
         return g.with_(edges=new.edges, vertices=new.vertices, names=new.names)
 
     def write_result(self, version: int, name: str, rows: DataFrame) -> DataFrame:
         path = f"{self.path}/v{version}/results/{name}"
-        rows.write.mode("overwrite").parquet(path)
+        with releasing(rows.sparkSession):
+            rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def commit(self, version: int, last_batch: int, results: list[str]) -> None:
@@ -112,8 +115,11 @@ class StateStore:
             raise RuntimeError(f"version {version} was committed by another writer, or its commit failed")
         old = version - self.keep
         for name in (f"c{old}.json", f"v{old}"):
-            if self._fs.exists(self._p(f"{self.path}/{name}")):
-                self._fs.delete(self._p(f"{self.path}/{name}"), True)
+            self.remove(f"{self.path}/{name}")
+
+    def remove(self, path: str) -> None:
+        if self._fs.exists(self._p(path)):
+            self._fs.delete(self._p(path), True)
 
 
 @dataclass
@@ -157,15 +163,21 @@ class Engine:
         current = self.store.current()
         if batch_id <= current["last_batch"]:
             return
-        version, before = current["version"] + 1, self.graph
-        batch = batch.persist()
+        with releasing(self.spark):
+            self._apply(batch, batch_id, current["version"] + 1, self.graph)
+        self.publish()
+
+    def _apply(self, batch: DataFrame, batch_id: int, version: int, before: Graph) -> None:
+        held = f"{self.path}/_held{version}"
         try:
+            # Columns on disk, of which each hook reads what it needs; what a batch holds goes when it is applied.
+            batch = self._hold(batch, f"{held}/batch")
             own = dict(before.results)
             for level in self.order:
                 for a in level:
                     if hasattr(a, "pre") and (r := a.pre(before.with_(results=own), batch, own.get(a.name))) is not None:
                         own[a.name] = r
-            g = self.store.write(apply_batch(before, batch, self.directed), version).with_(results=own)
+            g = self.store.write(apply_batch(before, batch, self.directed, lambda df, name: self._hold(df, f"{held}/{name}")), version).with_(results=own)
             g = self._run(g, version, lambda a, g: a.post(g, batch, g.results.get(a.name)) if hasattr(a, "post") else None)
             kept = {n: r if f"/v{version}/" in str(r.inputFiles()[:1]) else self.store.write_result(version, n, r) for n, r in g.results.items()}
             g = g.with_(results=kept)
@@ -181,8 +193,12 @@ class Engine:
             if self.history:
                 write_history(g.results, batch_id, self.history, self.keep_history)
         finally:
-            batch.unpersist()
-        self.publish()
+            self.store.remove(held)
+
+    def _hold(self, df: DataFrame, path: str) -> DataFrame:
+        with releasing(df.sparkSession):
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def publish(self) -> None:
         """Swaps the views vertices, edges and alg_<name> to the last version."""

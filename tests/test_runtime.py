@@ -1,3 +1,6 @@
+import time
+from pathlib import Path
+
 import pytest
 from hand import column, graph, rows
 from pyspark.sql import functions as F
@@ -195,3 +198,15 @@ def test_column_requests(spark):
 def test_windows(spark):
     df = spark.sql("SELECT timestamp_seconds(x) AS sent_at, 'insert' AS op FROM VALUES (0), (10), (4000) AS t(x)")
     assert sorted(r["n"] for r in runtime.windows(df).collect()) == [1, 2]
+
+
+def test_a_batch_leaves_nothing_on_disk(spark, tmp_path):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {str(p) for d in local.localDirs() for p in Path(d.getPath()).rglob("shuffle*.data")}
+    e = runtime.Engine(spark, str(tmp_path / "state"), [analytics.RateMonitor()], start=graph(spark, "0>1 1>2"))
+    before = shuffled()
+    e.apply(batch(spark, *[f"+{i}>{i + 1}" for i in range(300)], "-0>1"), 0)
+    time.sleep(2)
+    assert not shuffled() - before
+    assert not list((tmp_path / "state").glob("_held*")) and not spark.sparkContext._jsc.getPersistentRDDs()
+    assert e.graph.edges.count() == 299 and e.graph.results["rate_monitor"].count() == 301
