@@ -107,22 +107,56 @@ def all_pairs(g: Graph, unweighted: bool = False) -> DataFrame:
 SOURCES = 1024
 
 
+#: Bits of a column of sources.
+WORD = 64
+
+
 def _over_pairs(g: Graph, unweighted: bool, block: int) -> tuple[int, int, int | None]:
     """Pairs of different vertices with a path, the sum of their distances and the greatest distance of all pairs.
 
-    The sources search in blocks, so the rows held are those of a block, not of all pairs.
+    The sources search in blocks, so the rows held are those of a block, not of all pairs. By hops, a vertex is one row with a
+    bit for each source of the block.
     """
-    ranked = cut(positions(g.ids(), [F.col("id")]).select("id", F.floor(F.col("pos") / block).alias("block")))
+    ranked = cut(positions(g.ids(), [F.col("id")]).select("id", F.floor(F.col("pos") / block).alias("block"), (F.col("pos") % block).alias("at")))
+    arcs = cut(_arcs(g, None, True)) if unweighted else None
     pairs, total, greatest = 0, 0, None
     for b in range(ranked.agg(F.coalesce(F.max("block"), F.lit(-1)) + 1).head()[0]):
-        d = distances(g, ranked.where(F.col("block") == b).select("id"), unweighted=unweighted)
-        other = F.col("source") != F.col("id")
-        row = d.agg(F.count_if(other).alias("n"), F.coalesce(F.sum(F.when(other, F.col("dist"))), F.lit(0)).alias("s"), F.max("dist").alias("m")).head()
-        pairs, total = pairs + row["n"], total + row["s"]
-        greatest = row["m"] if greatest is None or (row["m"] or 0) > greatest else greatest
+        own = ranked.where(F.col("block") == b)
+        if unweighted:
+            n, length, most = _hops_in_bits(arcs, own, block)
+        else:
+            d = distances(g, own.select("id"))
+            other = F.col("source") != F.col("id")
+            n, length, most = d.agg(F.count_if(other), F.coalesce(F.sum(F.when(other, F.col("dist"))), F.lit(0)), F.max("dist")).head()
+        pairs, total = pairs + n, total + length
+        greatest = most if greatest is None or (most or 0) > greatest else greatest
     return pairs, total, greatest
 
 
+def _hops_in_bits(arcs: DataFrame, sources: DataFrame, block: int) -> tuple[int, int, int]:
+    """The numbers of _over_pairs for the sources (id, at) with ``at`` below ``block``, by hops."""
+    words = range(-(-block // WORD))
+    new, seen, reached = ([f"{c}{i}" for i in words] for c in "nsr")
+    zero = F.lit(0).cast("bigint")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % WORD).cast("int"))
+    own = [F.when(F.floor(F.col("at") / WORD) == i, bit).otherwise(zero) for i in words]
+    state = cut(sources.select("id", *[c.alias(x) for c, x in zip(own, seen)], *[c.alias(x) for c, x in zip(own, new)], zero.alias("pairs"), zero.alias("total")))
+    for level in range(1, MOST_ROUNDS):
+        ahead = state.where(" OR ".join(f"{x} <> 0" for x in new)).select(F.col("id").alias("src"), *new)
+        step = ahead.join(arcs, "src").groupBy(F.col("dst").alias("id")).agg(*[F.bit_or(x).alias(y) for x, y in zip(new, reached)])
+        both = state.drop(*new).join(step, "id", "full").fillna(0)
+        both = both.select("id", "pairs", "total", *[F.col(x).bitwiseOR(F.col(y)).alias(x) for x, y in zip(seen, reached)], *[F.col(y).bitwiseAND(F.bitwise_not(x)).alias(z) for x, y, z in zip(seen, reached, new)])
+        found = F.lit(0).cast("bigint")
+        for x in new:
+            found = found + F.bit_count(x)
+        # The numbers travel with the rows, as measures only tell whether to go on.
+        state, n = cut_and_count(both.withColumns({"pairs": F.col("pairs") + found, "total": F.col("total") + level * found}), " OR ".join(f"{x} <> 0" for x in new))
+        if not n:
+            row = state.agg(F.coalesce(F.sum("pairs"), zero), F.coalesce(F.sum("total"), zero)).head()
+            return row[0], row[1], level - 1
+    raise RuntimeError("the search did not end")
+
+
 def mean_path(g: Graph, unweighted: bool = False, block: int = SOURCES) -> DataFrame:
     """One row ``mean``: over the pairs of different vertices with a path; null if there is none."""
     pairs, total, _ = _over_pairs(g, unweighted, block)

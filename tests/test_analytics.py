@@ -211,6 +211,23 @@ def test_expansion_against_brute_force(spark):
     assert [x["id"] for x in extract.modular_expansion(g, [keys[0][1]]).orderBy("step").collect()] == inside
 
 
+def test_hops_of_all_pairs_hold_a_row_for_each_vertex(spark, monkeypatch):
+    keys = random_edges(9, 20, 45)
+    g = as_graph(spark, keys)
+    pairs = [x["dist"] for x in paths.all_pairs(g, unweighted=True).where("source <> id").collect()]
+    held = []
+
+    def counted(df, *a, **k):
+        out = paths.cut(df)
+        held.append(out.count())
+        return out, out.where(a[0]).count() if a else held[-1]
+
+    monkeypatch.setattr(paths, "cut_and_count", counted)
+    monkeypatch.setattr(paths, "distances", None)
+    assert paths._over_pairs(g, True, 70) == (len(pairs), sum(pairs), max(pairs))
+    assert held and max(held) <= g.ids().count()
+
+
 def test_all_pairs_in_blocks(spark):
     keys = random_edges(9, 20, 45)
     g = as_graph(spark, keys)
