@@ -298,3 +298,10 @@ def test_empty_graph(spark):
     assert communities.agglomerate(g).count() == communities.partition(g, 2, 5).count() == 0
     assert stats.totals(g).head()["total_edges"] == 0 and sum(r["n"] for r in stats.check(g).collect()) == 0
     assert paths.mean_path(g).head()["mean"] is None
+
+
+def test_components_of_few_links_need_no_sketch(spark, monkeypatch):
+    g = graph(spark, "0-1 1-2 4>3 7>5 9>7")
+    monkeypatch.setattr(structure, "heavy", None)
+    assert column(structure.components(g), "label") == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 7: 5, 9: 5}
+    assert set(column(communities.agglomerate(graph(spark, "0>1 0>2 0>3"), "heaviest", trees=True, most=1), "label").values()) == {0}
