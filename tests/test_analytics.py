@@ -300,6 +300,12 @@ def test_empty_graph(spark):
     assert paths.mean_path(g).head()["mean"] is None
 
 
+def test_exact_diameter_in_bits(spark, monkeypatch):
+    monkeypatch.setattr(paths, "distances", None)
+    g = graph(spark, "0>1 1>2 2>3 9>8")
+    assert paths.exact_diameter(g, True, block=2).head()[0] == 3
+
+
 def test_components_of_few_links_need_no_sketch(spark, monkeypatch):
     g = graph(spark, "0-1 1-2 4>3 7>5 9>7")
     monkeypatch.setattr(structure, "heavy", None)
