@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from hand import column, graph
 
-from graphrill.operators import intask, structure
+from graphrill.model import Graph
+from graphrill.operators import intask, paths, structure
+from graphrill.session import cut_and_count as real
 
 
 def some_edges(seed, n, m):
@@ -35,3 +37,17 @@ def test_forest_keeps_long_paths_and_hubs():
     np.random.default_rng(0).shuffle(path)
     label, vertex = intask.stars(np.concatenate([path[:-1], [5000] * 3]), np.concatenate([path[1:], [4999, 4000, 4500]]))
     assert dict(zip(vertex.tolist(), label.tolist())) == {v: 0 for v in range(1, 1000)} | {5000: 4000, 4999: 4000, 4500: 4000}
+
+
+def test_betweenness_in_a_task_and_over_tables(spark, monkeypatch):
+    g = as_graph(spark, some_edges(5, 40, 150))
+    with monkeypatch.context() as m:
+        m.setattr(intask, "ARCS", -1)
+        over_tables = {r["id"]: r for r in structure.betweenness(g).collect()}
+    # No job a level: the vertices found are no tables.
+    held = []
+    monkeypatch.setattr(structure, "cut_and_count", lambda df, *a: held.append(1) or real(df, *a))
+    monkeypatch.setattr(intask, "CELLS", 200)
+    got = {r["id"]: r for r in structure.betweenness(g).collect()}
+    assert len(held) == 1 and got.keys() == over_tables.keys() and max(r["times_found"] for r in got.values()) > 20
+    assert all(abs(got[v]["bc"] - over_tables[v]["bc"]) < 1e-9 and got[v]["times_found"] == over_tables[v]["times_found"] for v in got)
