@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphrill.model import Graph
+from graphrill.operators import intask
 from graphrill.operators.columns import positions
 from graphrill.session import broadcast_counted, broadcast_if_small, cut, cut_and_count, cut_and_measure
 
@@ -115,10 +116,18 @@ def _over_pairs(g: Graph, unweighted: bool, block: int) -> tuple[int, int, int |
     """Pairs of different vertices with a path, the sum of their distances and the greatest distance of all pairs.
 
     The sources search in blocks, so the rows held are those of a block, not of all pairs. By hops, a vertex is one row with a
-    bit for each source of the block.
+    bit for each source of the block; if all arcs fit a task, each task searches from its sources on its own.
     """
-    ranked = cut(positions(g.ids(), [F.col("id")]).select("id", F.floor(F.col("pos") / block).alias("block"), (F.col("pos") % block).alias("at")))
-    arcs = cut(_arcs(g, None, True)) if unweighted else None
+    ids, _ = cut_and_count(g.ids())
+    arcs = None
+    if unweighted:
+        arcs, measures = cut_and_measure(_arcs(g, None, True), n=F.count(F.lit(1)))
+        if measures["n"] <= intask.ARCS:
+            numbers = lambda ids, ahead, back, own: [[x] for x in intask.hops(ahead, own)]
+            each = intask.Shared(arcs.withColumnRenamed("w", "c")).search(ids, numbers, "pairs bigint, total bigint, greatest bigint")
+            none = F.lit(0).cast("bigint")
+            return tuple(each.agg(F.coalesce(F.sum("pairs"), none), F.coalesce(F.sum("total"), none), F.max("greatest")).head())
+    ranked = cut(positions(ids, [F.col("id")]).select("id", F.floor(F.col("pos") / block).alias("block"), (F.col("pos") % block).alias("at")))
     pairs, total, greatest = 0, 0, None
     for b in range(ranked.agg(F.coalesce(F.max("block"), F.lit(-1)) + 1).head()[0]):
         own = ranked.where(F.col("block") == b)

@@ -51,3 +51,16 @@ def test_betweenness_in_a_task_and_over_tables(spark, monkeypatch):
     got = {r["id"]: r for r in structure.betweenness(g).collect()}
     assert len(held) == 1 and got.keys() == over_tables.keys() and max(r["times_found"] for r in got.values()) > 20
     assert all(abs(got[v]["bc"] - over_tables[v]["bc"]) < 1e-9 and got[v]["times_found"] == over_tables[v]["times_found"] for v in got)
+
+
+def test_hops_in_a_task_and_over_tables(spark, monkeypatch):
+    g = as_graph(spark, [*some_edges(6, 90, 160), (0, 500, 500, 1)])
+    with monkeypatch.context() as m:
+        m.setattr(intask, "ARCS", -1)
+        over_tables = paths._over_pairs(g, True, 64)
+    # No job a level: no block is searched over tables.
+    monkeypatch.setattr(paths, "_hops_in_bits", None)
+    monkeypatch.setattr(intask, "CELLS", 30)
+    assert paths._over_pairs(g, True, 64) == over_tables and over_tables[2] > 3
+    alone = as_graph(spark, [(0, 7, 7, 1)])
+    assert paths._over_pairs(alone, True, 64) == (0, 0, 0) and paths._over_pairs(Graph.empty(spark), True, 64) == (0, 0, None)
