@@ -7,7 +7,8 @@ import pytest
 from hand import column, graph
 
 from graphrill.model import Graph
-from graphrill.operators import intask, paths, structure
+from graphrill.operators import extract, intask, paths, structure
+from graphrill.session import cut
 from graphrill.session import cut_and_count as real
 
 
@@ -64,3 +65,23 @@ def test_hops_in_a_task_and_over_tables(spark, monkeypatch):
     assert paths._over_pairs(g, True, 64) == over_tables and over_tables[2] > 3
     alone = as_graph(spark, [(0, 7, 7, 1)])
     assert paths._over_pairs(alone, True, 64) == (0, 0, 0) and paths._over_pairs(Graph.empty(spark), True, 64) == (0, 0, None)
+
+
+def test_expansion_takes_many_vertices_a_job(spark, monkeypatch):
+    r = random.Random(8)
+    g = as_graph(spark, [(0, i, (i + r.randrange(1, 4)) % 80, r.randrange(1, 5)) for i in range(80) for _ in range(3)])
+    seed = [0, 7]
+    steps = lambda: [r["id"] for r in extract.modular_expansion(g, seed).orderBy("step").collect()]
+    jobs = []
+    monkeypatch.setattr(extract, "cut", lambda df: jobs.append(1) or cut(df))
+    with monkeypatch.context() as m:
+        m.setattr(extract, "HELD_LINKS", 0)
+        one_by_one = steps()
+    assert len(jobs) > len(one_by_one) > 15
+    for links, vertices in ((10**6, 10**6), (90, 10**6), (10**6, 3)):
+        monkeypatch.setattr(extract, "HELD_LINKS", links)
+        monkeypatch.setattr(extract, "HELD_VERTICES", vertices)
+        jobs.clear()
+        assert steps() == one_by_one and len(jobs) < len(one_by_one)
+        if links == vertices:
+            assert len(jobs) <= 4
