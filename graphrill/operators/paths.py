@@ -123,8 +123,7 @@ def _over_pairs(g: Graph, unweighted: bool, block: int) -> tuple[int, int, int |
     if unweighted:
         arcs, measures = cut_and_measure(_arcs(g, None, True), n=F.count(F.lit(1)))
         if measures["n"] <= intask.ARCS:
-            numbers = lambda ids, ahead, back, own: [[x] for x in intask.hops(ahead, own)]
-            each = intask.Shared(arcs.withColumnRenamed("w", "c")).search(ids, numbers, "pairs bigint, total bigint, greatest bigint")
+            each = intask.Shared(arcs.withColumnRenamed("w", "c")).search(ids, intask.of_pairs, "pairs bigint, total bigint, greatest bigint")
             none = F.lit(0).cast("bigint")
             return tuple(each.agg(F.coalesce(F.sum("pairs"), none), F.coalesce(F.sum("total"), none), F.max("greatest")).head())
     ranked = cut(positions(ids, [F.col("id")]).select("id", F.floor(F.col("pos") / block).alias("block"), (F.col("pos") % block).alias("at")))

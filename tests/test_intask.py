@@ -7,7 +7,7 @@ import pytest
 from hand import column, graph
 
 from graphrill.model import Graph
-from graphrill.operators import extract, intask, paths, structure
+from graphrill.operators import communities, extract, intask, paths, structure
 from graphrill.session import cut
 from graphrill.session import cut_and_count as real
 
@@ -85,3 +85,16 @@ def test_expansion_takes_many_vertices_a_job(spark, monkeypatch):
         assert steps() == one_by_one and len(jobs) < len(one_by_one)
         if links == vertices:
             assert len(jobs) <= 4
+
+
+@pytest.mark.parametrize("rule", [{"how": "cnm"}, {"how": "heaviest", "drop": 1.1}, {"how": "cnm", "most": 2, "drop": 1.5}, {"how": "heaviest", "most": 0}])
+def test_agglomerate_in_a_task_and_over_tables(spark, monkeypatch, rule):
+    g = as_graph(spark, some_edges(11, 60, 130))
+    with monkeypatch.context() as m:
+        m.setattr(intask, "LINKS", -1)
+        over_tables = column(communities.agglomerate(g, both=True, **rule), "label")
+    # No job a matching.
+    monkeypatch.setattr(communities, "_matching", None)
+    monkeypatch.setattr(communities, "_scored", None)
+    assert column(communities.agglomerate(g, both=True, **rule), "label") == over_tables
+    assert rule.get("most") == 0 or len(set(over_tables.values())) < len(over_tables)
