@@ -13,13 +13,13 @@ from graphrill.operators.traverse import affected
 from graphrill.session import broadcast_if_small, cut
 
 
-def ends(g: Graph, batch: DataFrame, op: str | None = None) -> DataFrame:
-    """(src, dst) of the batch's edges through the names of ``g``, unset ends as apply_batch takes them; strings that are no
-    name are left out."""
+def ends(g: Graph, batch: DataFrame, op: str | None = None, *more: str) -> DataFrame:
+    """(src, dst) and ``more`` columns of the batch's edges through the names of ``g``, unset ends as apply_batch takes them;
+    strings that are no name are left out."""
     rows = batch.where(F.col("op").isin("insert", "delete") if op is None else F.col("op") == op)
     for end in ("src", "dst"):
         rows = resolve(g.names, rows, "vertex", f"{end}_str", end, DEFAULTS[end])
-    return rows.select("src", "dst").dropna()
+    return rows.select("src", "dst", *more).dropna(subset=["src", "dst"])
 
 
 #: An update of communities ends when the best score falls by this factor in a round; a fixed value of the rule.
@@ -91,20 +91,22 @@ class Components:
 
     def post(self, g: Graph, batch: DataFrame, own: DataFrame) -> DataFrame:
         old = own.select("id", "label")
-        deleted = ends(g, batch, "delete")
+        # The names of the batch are looked up once.
+        named = cut(ends(g, batch, None, "op").distinct())
+        deleted = named.where("op = 'delete'")
         hit = deleted.select(F.col("src").alias("id")).union(deleted.select("dst")).join(old, "id").select("label").distinct()
         open_ = cut(old.join(hit, "label", "left_semi").select("id"))
         redone = structure.components(induced(g, open_)).join(open_, "id", "left_semi")
         known = old.join(open_, "id", "left_anti").unionByName(redone.select("id", "label"))
         known = cut(known.unionByName(g.ids().join(known, "id", "left_anti").select("id", F.col("id").alias("label"))))
         # The batch's insertions link labels, as far as its deletions left them; only this small graph of labels is searched.
-        new = ends(g, batch, "insert").distinct()
+        new = named.where("op = 'insert'").select("src", "dst")
         new = new.union(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
         new = g.edges.select("src", "dst").join(broadcast_if_small(new), ["src", "dst"], "left_semi")
         by = lambda end: known.select(F.col("id").alias(end), F.col("label").alias(f"l_{end}"))
         between = new.join(by("src"), "src").join(by("dst"), "dst").select(F.col("l_src").alias("src"), F.col("l_dst").alias("dst")).where("src <> dst").distinct()
-        joined = structure.components(Graph.of(between)).select(F.col("id").alias("label"), F.col("label").alias("to"))
-        return self._sized(known.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        joined = structure.components(Graph.of(cut(between))).select(F.col("id").alias("label"), F.col("label").alias("to"))
+        return self._sized(cut(known.join(joined, "label", "left").select("id", F.coalesce("to", "label").alias("label"))))
 
 
 class PageRank:

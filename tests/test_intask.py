@@ -7,9 +7,11 @@ import pytest
 from hand import column, graph
 
 from graphrill.model import Graph
-from graphrill.operators import communities, extract, intask, paths, structure
+from graphrill.operators import communities, extract, intask, mutate, paths, structure
 from graphrill.session import cut
 from graphrill.session import cut_and_count as real
+from graphrill.sources import generate
+from graphrill.streaming import analytics
 
 
 def some_edges(seed, n, m):
@@ -98,3 +100,16 @@ def test_agglomerate_in_a_task_and_over_tables(spark, monkeypatch, rule):
     monkeypatch.setattr(communities, "_scored", None)
     assert column(communities.agglomerate(g, both=True, **rule), "label") == over_tables
     assert rule.get("most") == 0 or len(set(over_tables.values())) < len(over_tables)
+
+
+def test_batch_names_are_looked_up_once(spark, monkeypatch):
+    g = graph(spark, "0-1 2-3 4-5 5-6")
+    row = {c.split()[0]: None for c in generate.FEED.split(", ")}
+    rows = [row | {"batch_id": 1, "seq": i, "op": op, "etype": 0, "src": a, "dst": b} for i, (op, a, b) in enumerate([("insert", 1, 2), ("delete", 5, 6), ("delete", 6, 5), ("insert", 7, 8)])]
+    batch = spark.createDataFrame(rows, generate.FEED)
+    after = mutate.apply_batch(g, batch)
+    lookups = []
+    monkeypatch.setattr(analytics, "resolve", lambda *a: lookups.append(a[3]) or mutate.resolve(*a))
+    own = analytics.Components().post(after, batch, analytics.Components().init(g))
+    assert column(own, "label") == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7}
+    assert lookups == ["src_str", "dst_str"]
