@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from graphrill.model import EDGE, KEY, Graph
 from graphrill.operators.columns import positions
-from graphrill.operators.lookups import heavy, lookup
-from graphrill.operators.naming import once
-from graphrill.session import broadcast_if_small, cut, is_small, partitions, stored
+from graphrill.operators.lookups import heavy
+from graphrill.operators.naming import once_in_place
+from graphrill.session import FEW_ROWS, broadcast_if_small, cut, is_small, partitions, stored
 
 #: Columns of a batch of edges: KEY, weight, time, and ord, of any type with an order, which breaks ties of time.
 BATCH = [*KEY, "weight", "time", "ord"]
@@ -91,6 +91,26 @@ def remove(g: Graph, rows: DataFrame, pairs: bool = False) -> Graph:
     return g.with_(edges=g.edges.join(_keys(mirrored(keys) if pairs else keys), KEY, "left_anti").select(*EDGE))
 
 
+def increment_and_remove(g: Graph, rows: DataFrame, pairs: bool = False) -> Graph:
+    """``g`` after insert with 'incr' of the rows with op insert, then remove of those with op delete (KEY, op, weight, time).
+
+    Edges and rows move once, by key, and are combined before.
+    """
+    gone = F.col("op") == "delete"
+    fresh = batch(rows.where(~gone))
+    fresh, lost = fresh.select(*KEY, "weight", "time", F.lit(False).alias("gone")), rows.where(gone).select(*KEY, F.lit(None).cast("bigint").alias("weight"), F.lit(None).cast("bigint").alias("time"), F.lit(True).alias("gone"))
+    rows = fresh.union(lost)
+    if pairs:
+        rows = mirrored(rows)
+    no = F.lit(None).cast("bigint")
+    rows = rows.select(*KEY, no.alias("weight"), no.alias("time_first"), no.alias("time_recent"), F.col("weight").alias("_w"), F.col("time").alias("_t"), "gone")
+    both = g.edges.select(*EDGE, no.alias("_w"), no.alias("_t"), F.lit(False).alias("gone")).union(rows)
+    one = [F.max(c).alias(c) for c in ("weight", "time_first", "time_recent")]
+    both = both.groupBy(*KEY).agg(*one, F.sum("_w").alias("_w"), F.min("_t").alias("_first"), F.max("_t").alias("_last"), F.max("gone").alias("gone")).where(~F.col("gone"))
+    weight = F.coalesce(F.col("weight") + F.col("_w"), "_w", "weight")
+    return g.with_(edges=both.select(*KEY, weight.alias("weight"), F.coalesce("time_first", "_first").alias("time_first"), F.coalesce("_last", "time_recent").alias("time_recent")))
+
+
 def remove_results(g: Graph, rows: DataFrame, pairs: bool = False) -> DataFrame:
     """(KEY, result) of each distinct row: 1 if the edge is removed, -1 if there is none; of pairs 1 + 2 if both directions
     are removed, -1 if either is missing (the other is removed all the same)."""
@@ -146,57 +166,75 @@ def new_names(g: Graph, rows: DataFrame) -> Graph:
     return g.with_(names=g.names.select("kind", "id", "name").union(stored(new, "names")))
 
 
-def resolve(names: DataFrame, rows: DataFrame, kind: str, string: str, number: str, default: int) -> DataFrame:
+def resolve(names: DataFrame, rows: DataFrame, kind: str, string: str, number: str, default: int, source: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``number`` replaced by the id of ``string`` where that is set, else the number, else the default; null if
     the string is no name.
 
-    Names of a small size are broadcast. Else rows without a string stay where they are, and the others meet the names with
-    the frequent ones broadcast.
+    Names of a small size are broadcast, and those of types if they are few. Else rows without a string or with a frequent
+    one stay where they are, and the others meet the names. The frequent ones are counted in ``source``: ``rows``, or what
+    they were before other lookups, which then need not run for the count.
     """
     known = names.where(F.col("kind") == kind).select(F.col("name").alias("_name"), F.col("id").alias("_id"))
     spelled = F.coalesce(F.length(string) > 0, F.lit(False))
-    value = F.when(spelled, F.col("_id")).otherwise(F.coalesce(number, F.lit(default)))
-    if is_small(known):
-        return rows.join(F.broadcast(known), F.col(string) == F.col("_name"), "left").withColumn(number, value).drop("_name", "_id")
-    named = rows.where(spelled)
-    named = lookup(named, string, known, "_name", "_id", "_resolved", heavy(named, F.col(string), known, "_name", "_id"))
-    unset = rows.where(~spelled).withColumn(number, F.coalesce(number, F.lit(default)))
-    return unset.unionByName(named.withColumn(number, F.col("_resolved")).drop("_resolved"))
+    value = lambda found: F.when(spelled, F.col(found)).otherwise(F.coalesce(number, F.lit(default)))
+    if is_small(known) or (kind != "vertex" and known.limit(FEW_ROWS + 1).count() <= FEW_ROWS):
+        return rows.join(F.broadcast(known), F.col(string) == F.col("_name"), "left").withColumn(number, value("_id")).drop("_name", "_id")
+    frequent = cut(heavy(rows if source is None else source, F.when(spelled, F.col(string)), known, "_name", "_id"))
+    tried = rows.join(F.broadcast(frequent), F.col(string) == F.col("_heavy"), "left")
+    rest = spelled & F.col("_heavy").isNull()
+    done = tried.where(~rest).withColumn(number, value("_heavy_value")).drop("_heavy", "_heavy_value")
+    # Through coalesce no condition on the string reaches the names, whose shuffle other lookups then use again.
+    met = tried.where(rest).drop("_heavy", "_heavy_value").join(known, F.coalesce(string, F.lit("")) == F.col("_name"), "left")
+    return done.unionByName(met.withColumn(number, F.col("_id")).drop("_name", "_id"))
 
 
 def update_vertices(g: Graph, rows: DataFrame) -> Graph:
     """``g`` with ``rows`` (id, vtype, set_weight, incr_weight, ord): the type of the last row that has one, the weight of the
-    last set_weight plus all increments. Vertices that are new begin with type 0 and weight 0."""
+    last set_weight plus all increments. Vertices that are new begin with type 0 and weight 0. If what is left of ``rows`` is
+    estimated to be small, it is broadcast and the vertices stay where they are."""
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("ord", c)))[c]
     new = rows.groupBy("id").agg(last("vtype").alias("_t"), last("set_weight").alias("_s"), F.coalesce(F.sum("incr_weight"), F.lit(0)).alias("_i"))
-    both = g.vertices.join(new, "id", "full")
     weight = F.coalesce("_s", "weight", F.lit(0)) + F.coalesce("_i", F.lit(0))
-    kept = both.select("id", "name", F.coalesce("_t", "vtype", F.lit(0)).alias("vtype"), F.when(F.col("_i").isNull(), F.col("weight")).otherwise(weight).alias("weight"))
-    return g.with_(vertices=kept)
+    values = ["id", "name", F.coalesce("_t", "vtype", F.lit(0)).alias("vtype"), F.when(F.col("_i").isNull(), F.col("weight")).otherwise(weight).alias("weight")]
+    if not is_small(new):
+        return g.with_(vertices=g.vertices.join(new, "id", "full").select(*values))
+    updated = g.vertices.join(F.broadcast(new), "id", "left").select(*values)
+    there = g.vertices.select("id").join(F.broadcast(new.select("id")), "id", "left_semi")  # no more rows than new
+    created = new.join(F.broadcast(there), "id", "left_anti").withColumns({"name": F.lit(None).cast("string"), "vtype": F.lit(None).cast("bigint"), "weight": F.lit(None).cast("bigint")})
+    return g.with_(vertices=updated.unionByName(created.select(*values)))
 
 
 def apply_batch(g: Graph, updates: DataFrame, directed: bool = True, hold: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Graph:
     """``g`` after a batch of updates (the schema of the feed): insertions, which always add weights, then deletions, then
     vertex updates. New names get ids in the order of (batch_id, seq); rows sent again count once. Undirected batches insert
     and delete both directions. An edge that a batch both inserts and deletes is gone. ``hold`` may write what is read several
-    times, the rows and their edges, and give back what it wrote."""
+    times, repeated rows, edges and vertices, and give back what it wrote."""
     cols = [c for c in updates.columns if c != "metadata"]
-    rows = hold(once(updates, ["batch_id", "seq"], cols), "rows")
+    rows = once_in_place(updates, ["batch_id", "seq"], cols, hold)
     rows = rows.withColumn("ord", F.struct("batch_id", "seq"))
-    edges = rows.where(F.col("op").isin("insert", "delete"))
+    # Without ord, as sums of weights need no order.
+    edges = unnamed = rows.where(F.col("op").isin("insert", "delete")).select("op", "etype", "etype_str", "src", "src_str", "dst", "dst_str", "weight", "time")
     given = lambda df, kind, column: df.select(F.lit(kind).alias("kind"), F.col(column).alias("name"), "ord")
     wanted = given(rows.where("op = 'insert'"), "vertex", "src_str").union(given(rows.where("op = 'insert'"), "vertex", "dst_str"))
     wanted = wanted.union(given(rows.where("op = 'insert'"), "etype", "etype_str")).union(given(rows.where("op = 'vertex'"), "vertex", "src_str")).union(given(rows.where("op = 'vertex'"), "vtype", "vtype_str"))
     g = new_names(g, wanted)
     for kind, side in (("etype", "etype"), ("vertex", "src"), ("vertex", "dst")):
-        edges = resolve(g.names, edges, kind, f"{side}_str", side, DEFAULTS[side])
-    edges = hold(edges.dropna(subset=KEY).select(*KEY, "op", "weight", "time", "ord"), "rows_of_edges")
-    g = insert(g, edges.where("op = 'insert'"), "incr", pairs=not directed)
-    g = remove(g, edges.where("op = 'delete'"), pairs=not directed)
-    v = resolve(g.names, rows.where("op = 'vertex'"), "vertex", "src_str", "src", DEFAULTS["src"]).dropna(subset=["src"])
+        edges = resolve(g.names, edges, kind, f"{side}_str", side, DEFAULTS[side], unnamed)
+    edges = hold(edges.dropna(subset=KEY).select(*KEY, "op", "weight", "time"), "rows_of_edges")
+    if is_small(edges):
+        g = insert(g, edges.where("op = 'insert'"), "incr", pairs=not directed)
+        g = remove(g, edges.where("op = 'delete'"), pairs=not directed)
+    else:
+        g = increment_and_remove(g, edges, pairs=not directed)
+    v = hold(rows.where("op = 'vertex'").select("src", "src_str", "vtype_str", "set_weight", "incr_weight", "ord"), "rows_of_vertices")
+    names = g.names
+    if is_small(v):
+        # Few names remain, which are broadcast.
+        names = hold(names.where("kind = 'vertex'").join(F.broadcast(v.select(F.col("src_str").alias("name")).distinct()), "name", "left_semi").select("kind", "id", "name"), "names_of_vertices")
+    v = resolve(names, v, "vertex", "src_str", "src", DEFAULTS["src"]).dropna(subset=["src"])
     v = resolve(g.names, v.withColumn("vtype", F.lit(None).cast("bigint")), "vtype", "vtype_str", "vtype", -1)
     v = v.select(F.col("src").alias("id"), F.when(F.col("vtype") >= 0, F.col("vtype")).alias("vtype"), "set_weight", "incr_weight", "ord")
-    return update_vertices(g, v)
+    return update_vertices(g, hold(v, "vertices"))
 
 
 def sort_actions(insertions: DataFrame, deletions: DataFrame) -> DataFrame:

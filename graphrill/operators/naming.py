@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,21 @@ def once(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row")).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def once_in_place(rows: DataFrame, key: list[str], columns: list[str], hold: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """As once, but of most rows only the key moves: rows with a repeated key meet, the others stay where they are.
+
+    ``hold`` writes the repeated keys and their rows, ``rows`` are read again each time. If the repeated keys are not small,
+    all rows move and are held.
+    """
+    repeated = hold(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in key]), "repeated")
+    if not is_small(repeated):
+        return hold(once(rows, key, columns), "rows")
+    rows = rows.select(*columns)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    met = hold(once(rows.join(F.broadcast(repeated), same, "left_semi"), key, columns), "met")
+    return rows.join(F.broadcast(repeated), same, "left_anti").unionByName(met)
+
+
 def name_key(string: Column, number: Column) -> Column:
     """What names a side or type: 's' and its string, else 'n' and its number; null if it has neither.
 

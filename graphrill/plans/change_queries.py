@@ -444,25 +444,34 @@ def h12_text_functions(spark, d):
 
 
 # Streaming.
-def _feed_folder(spark: SparkSession, d: str, parts: int) -> tuple[str, DataFrame]:
-    """The feed's rows in a few files, each with whole batches in order, for a stream to take one by one."""
+def _feed_parts(spark: SparkSession, d: str, parts: int) -> list[DataFrame]:
+    """The feed's rows in a few parts, each with whole batches in order."""
     rows = table(spark, d, "updates")
     top = rows.agg(F.max("batch_id")).head()[0]
+    own = lambda i: rows.where((F.col("batch_id") > top * i // parts) & (F.col("batch_id") <= top * (i + 1) // parts))
+    return [own(i).select(*[c.split()[0] for c in generate.FEED.split(", ")]).coalesce(1) for i in range(parts)]
+
+
+def _feed_folder(spark: SparkSession, d: str, parts: int) -> tuple[str, DataFrame]:
+    """The parts of the feed as files, for a stream to take one by one."""
     path = fresh_path(spark, "feed")
-    for i in range(parts):
-        own = rows.where((F.col("batch_id") > top * i // parts) & (F.col("batch_id") <= top * (i + 1) // parts))
-        own.select(*[c.split()[0] for c in generate.FEED.split(", ")]).coalesce(1).write.mode("append").parquet(path)
-    return path, rows
+    for own in _feed_parts(spark, d, parts):
+        own.write.mode("append").parquet(path)
+    return path, table(spark, d, "updates")
 
 
 def _streamed(spark: SparkSession, d: str, analytics_: list, parts: int = 2) -> runtime.Engine:
-    path, _ = _feed_folder(spark, d, parts)
+    """The engine after the feed; a part is written once the stream has taken the one before, whose file goes."""
+    path, offsets = fresh_path(spark, "feed"), fresh_path(spark, "offsets")
     engine = runtime.Engine(spark, fresh_path(spark, "state"), analytics_, start=held(spark, d))
-    q = engine.stream(runtime.read_feed(spark, path), fresh_path(spark, "offsets"))
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+    for own in _feed_parts(spark, d, parts):
+        own.write.mode("overwrite").parquet(path)
+        q = engine.stream(runtime.read_feed(spark, path), offsets)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    engine.store.remove(path)
     return engine
 
 

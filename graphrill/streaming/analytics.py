@@ -17,8 +17,9 @@ def ends(g: Graph, batch: DataFrame, op: str | None = None, *more: str) -> DataF
     """(src, dst) and ``more`` columns of the batch's edges through the names of ``g``, unset ends as apply_batch takes them;
     strings that are no name are left out."""
     rows = batch.where(F.col("op").isin("insert", "delete") if op is None else F.col("op") == op)
+    unnamed = rows
     for end in ("src", "dst"):
-        rows = resolve(g.names, rows, "vertex", f"{end}_str", end, DEFAULTS[end])
+        rows = resolve(g.names, rows, "vertex", f"{end}_str", end, DEFAULTS[end], unnamed)
     return rows.select("src", "dst", *more).dropna(subset=["src", "dst"])
 
 

@@ -177,7 +177,8 @@ class Engine:
                 for a in level:
                     if hasattr(a, "pre") and (r := a.pre(before.with_(results=own), batch, own.get(a.name))) is not None:
                         own[a.name] = r
-            g = self.store.write(apply_batch(before, batch, self.directed, lambda df, name: self._hold(df, f"{held}/{name}")), version).with_(results=own)
+            g = self.store.write(apply_batch(before, batch, self.directed, lambda df, name: self._hold(df, f"{held}/rows/{name}")), version).with_(results=own)
+            self.store.remove(f"{held}/rows")
             g = self._run(g, version, lambda a, g: a.post(g, batch, g.results.get(a.name)) if hasattr(a, "post") else None)
             kept = {n: r if f"/v{version}/" in str(r.inputFiles()[:1]) else self.store.write_result(version, n, r) for n, r in g.results.items()}
             g = g.with_(results=kept)
